@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import suffix_dedup
+from factloom.llm import ball_tree, jaccard_join, line_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": suffix_dedup.query,
+        "op2_exact_top_k": ball_tree.query,
+        "op4_line_dedup": line_dedup.query,
+        "op8_jaccard_join": jaccard_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_exact_top_k": ball_tree.SQL,
+        "op4_line_dedup": line_dedup.SQL,
+    }
