@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import ball_tree, jaccard_join, line_dedup, suffix_dedup
+from factloom.llm import ball_tree, jaccard_join, license_scan, line_dedup, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": suffix_dedup.query,
         "op2_exact_top_k": ball_tree.query,
+        "op3_license_scan": license_scan.query,
         "op4_line_dedup": line_dedup.query,
+        "op7_toxicity": toxicity.query,
         "op8_jaccard_join": jaccard_join.query,
+        "op9_quality": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_top_k": ball_tree.SQL,
+        "op3_license_scan": license_scan.SQL,
         "op4_line_dedup": line_dedup.SQL,
     }

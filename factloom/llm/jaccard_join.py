@@ -146,9 +146,10 @@ def _pairs(sets: DataFrame, parts: int, percent: int) -> DataFrame:
     rows = sets.filter("n > 0").select(F.explode("toks").alias("tok"), "key", "n", "asks", "full")
 
     def meet(batches):
-        got = pa.Table.from_batches(list(batches))
-        if not got.num_rows:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
             return
+        got = pa.Table.from_batches(got)
         tok, key, n, asks, full = (got[c].to_numpy() for c in ("tok", "key", "n", "asks", "full"))
         order = np.lexsort((key, tok))
         tok, key = tok[order], key[order]
