@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import ball_tree, jaccard_join, license_scan, line_dedup, quality, suffix_dedup, toxicity
+from factloom.llm import ball_tree, jaccard_join, license_scan, line_dedup, mixing, quality, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_top_k": ball_tree.query,
         "op3_license_scan": license_scan.query,
         "op4_line_dedup": line_dedup.query,
+        "op5_warc": warc.query,
         "op7_toxicity": toxicity.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_quality": quality.query,
+        "op10_mixing": mixing.query,
     }
 
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_top_k": ball_tree.SQL,
         "op3_license_scan": license_scan.SQL,
         "op4_line_dedup": line_dedup.SQL,
+        "op5_warc": warc.SQL,
     }

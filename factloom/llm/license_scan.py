@@ -123,11 +123,11 @@ docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM documents
 ), words AS (
-  SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS at FROM docs
+  SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS i FROM docs
 ), pairs AS (
-  SELECT doc_id, at, a, lead(a) OVER (PARTITION BY doc_id ORDER BY at) AS b FROM words
+  SELECT doc_id, i, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM words
 ), diagonals AS (
-  SELECT doc_id, tpl, label, base, pairs, at - pos AS diagonal, bit_or(1::BIGINT << pos) AS votes
+  SELECT doc_id, tpl, label, base, pairs, i - pos AS diagonal, bit_or(1::BIGINT << pos) AS votes
   FROM pairs JOIN t ON a = wa AND b = wb GROUP BY ALL
 ), steps AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= 1 THEN 0 ELSE 1 END AS apart
