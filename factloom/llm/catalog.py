@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import ball_tree, jaccard_join, license_scan, line_dedup, mixing, quality, suffix_dedup, toxicity, warc
+from factloom.llm import ball_tree, decontaminate, jaccard_join, license_scan, line_dedup, mixing, quality, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": license_scan.query,
         "op4_line_dedup": line_dedup.query,
         "op5_warc": warc.query,
+        "op6_decontaminate": decontaminate.query,
         "op7_toxicity": toxicity.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_quality": quality.query,

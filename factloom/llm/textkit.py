@@ -90,15 +90,18 @@ def blocks(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """Words of a block of texts: runs of bytes outside ``gap``, after A-Z are lowered.
+    """Words of a block of texts: runs of bytes outside ``gap``, after A-Z (with ``accents``
+    also the letters of Latin-1) are lowered.
 
     doc: index of each word's text; start, end: byte span in ``data``; hash: of the word.
     first: for text i its words are first[i]:first[i + 1].
     """
 
-    def __init__(self, texts: list[bytes], gap: np.ndarray = SPACE):
+    def __init__(self, texts: list[bytes], gap: np.ndarray = SPACE, accents: bool = False):
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.data = LOWER[raw]
+        if accents:  # U+00C0 to U+00DE, but for the multiplication sign
+            self.data[1:][(raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)] += 0x20
         inside = ~gap[raw]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
