@@ -37,14 +37,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
     """(doc_id, th, text): the columns an operator works on, null texts made empty.
+    With ``carry`` also ``row``, a struct of all columns of ``docs`` but its text.
 
     ``(doc_id, th)`` identifies a row up to exact repetition (same id, same text), for
     which every operator gives the same answer; so ids may repeat or be null.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
+    body = F.coalesce(F.col("text"), F.lit(""))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")] if carry else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"), *row)
 
 
 def same_row(a: DataFrame, b: DataFrame):

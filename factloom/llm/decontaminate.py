@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as tk
-from factloom.llm.common import stage, table
+from factloom.llm.common import keyed, stage, table
 from factloom.llm.textkit import U
 
 HASHED = 1 << 16
@@ -234,20 +234,15 @@ class Retriever:
         return 0.0
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
-    """docs (doc_id, text, ...), benchmark (item_id, text, ...) ->
-    doc_id, th, item_id, cosine, cover, first_word: the items found in each document."""
+def retrievers(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS):
+    """One ``Retriever`` for each block of the benchmark, as broadcast variables."""
     spark = docs.sparkSession
-    schema = "doc_id long, th long, item_id long, cosine double, cover double, first_word long"
-    body = F.coalesce("text", F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), body.alias("text")).dropDuplicates()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates()
     blocks = -(-items.count() // items_at_once)
-    items = stage(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))), "op6-items")
-    out = spark.createDataFrame([], schema)
     if not blocks:
-        return out
-    df, n = document_frequencies(own)
+        return
+    items = stage(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "op6-items")
+    df, n = document_frequencies(docs)
     for k in range(blocks):
         some = items.filter(F.col("block") == k)
         rows = some.orderBy("item_id", "text").collect()
@@ -255,25 +250,55 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITE
         vocab = np.unique(_words(texts).hash)
         idf = weights(vocab, df, n)
         vectors = randomised_svd(some, vocab, idf) if len(vocab) else np.zeros((0, 1), np.float32)
-        out = out.unionByName(_find(own, spark.sparkContext.broadcast(Retriever(ids, texts, vocab, idf, vectors, df, n)), schema))
+        yield spark.sparkContext.broadcast(Retriever(ids, texts, vocab, idf, vectors, df, n))
+
+
+def _found(texts: list[bytes], retriever: Retriever) -> list[tuple]:
+    out = []
+    for lo, hi in tk.blocks([len(t) for t in texts]):
+        out += [(lo + x[0], *x[1:]) for x in retriever.search(texts[lo:hi])]
     return out
 
 
-def _find(own: DataFrame, sent, schema: str) -> DataFrame:
-    names = ["item_id", "cosine", "cover", "first_word"]
+def contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
+    """docs (doc_id, text, ...), benchmark (item_id, text, ...) ->
+    doc_id, th, item_id, cosine, cover, first_word: the items found in each document."""
+    schema = "doc_id long, th long, item_id long, cosine double, cover double, first_word long"
+    own = keyed(docs)
+    out = docs.sparkSession.createDataFrame([], schema)
+
+    def find(sent):
+        def run(batches):
+            for batch in batches:
+                found = _found(_texts(batch), sent.value)
+                if found:
+                    row = pa.array([x[0] for x in found])
+                    cols = [pa.array([x[i + 1] for x in found], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(row), batch["th"].take(row), *cols], names=["doc_id", "th", "item_id", "cosine", "cover", "first_word"])
+
+        return own.mapInArrow(run, schema)
+
+    for sent in retrievers(docs, benchmark, items_at_once):
+        out = out.unionByName(find(sent))
+    return out
 
-    def run(batches):
-        retriever = sent.value
-        for batch in batches:
-            texts, found = _texts(batch), []
-            for lo, hi in tk.blocks([len(t) for t in texts]):
-                found += [(lo + x[0], *x[1:]) for x in retriever.search(texts[lo:hi])]
-            if found:
-                row = pa.array([x[0] for x in found])
-                cols = [pa.array([x[i + 1] for x in found], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(row), batch["th"].take(row), *cols], names=["doc_id", "th", *names])
 
-    return own.mapInArrow(run, schema)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
+    """``docs`` with all its columns, less the documents in which an item is found."""
+
+    def keep(rows: DataFrame, sent) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[x[0] for x in _found(_texts(batch), sent.value)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    out = docs
+    for sent in retrievers(docs, benchmark, items_at_once):
+        out = keep(out, sent)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

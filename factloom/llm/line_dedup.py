@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.llm import textkit as tk
 from factloom.llm.common import keyed, parts_for, same_row, stage, table
@@ -156,7 +157,7 @@ def _marked_by_broadcast(own: DataFrame, index: DataFrame, min_chars: int) -> Da
     """own with ``drop``: numbers of the lines to drop. The index's size has been checked."""
     shards = [pickle.loads(r["index"]) for r in index.orderBy("shard").collect()]
     sent = own.sparkSession.sparkContext.broadcast(shards)
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("text", pa.string()), ("drop", pa.list_(pa.int32()))])
+    names = [*own.columns, "drop"]
 
     def probe(batches):
         shards = sent.value
@@ -171,9 +172,9 @@ def _marked_by_broadcast(own: DataFrame, index: DataFrame, min_chars: int) -> Da
                         own = shard == s
                         gone[own] = _drops(shards[s], h[own, 0], h[own, 1], doc_id)
                 out.append(at[gone].tolist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], batch["text"].cast(pa.string()), pa.array(out, pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=names)
 
-    return own.mapInArrow(probe, "doc_id long, th long, text string, drop array<int>")
+    return own.mapInArrow(probe, T.StructType([*own.schema.fields, T.StructField("drop", T.ArrayType(T.IntegerType()))]))
 
 
 def _marked_by_shuffle(own: DataFrame, index: DataFrame, min_chars: int, shards: int) -> DataFrame:
@@ -208,36 +209,38 @@ def _marked_by_shuffle(own: DataFrame, index: DataFrame, min_chars: int, shards:
     spread = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     back = asked.groupBy("shard", "slice").cogroup(spread.groupBy("shard", "slice")).applyInArrow(probe, "doc_id long, th long, drop array<int>")
     per_doc = back.filter(F.size("drop") > 0).dropDuplicates().groupBy("doc_id", "th").agg(F.flatten(F.collect_list("drop")).alias("drop"))
-    return own.join(per_doc, same_row(own, per_doc), "left").select(own["doc_id"], own["th"], "text", "drop")
+    return own.join(per_doc, same_row(own, per_doc), "left").select(*(own[c] for c in own.columns), "drop")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, th, n_lines, n_dropped, kept_sha256, kept."""
-    own = keyed(docs)
-    index = line_index(own, min_chars, min_docs)
+    """docs (doc_id, text, ...) -> doc_id, th, n_lines, n_dropped, kept_sha256, kept (the
+    text that is left), row (struct of the other columns)."""
+    own = keyed(docs, carry=True)
+    index = line_index(own.select("doc_id", "th", "text"), min_chars, min_docs)
     size, shards = index.agg(F.coalesce(F.sum(F.length("index")), F.lit(0)), F.count("*")).first()
     # All shard numbers must be there for the remainder to name them.
     shards = max(shards, (index.agg(F.max("shard")).first()[0] or 0) + 1)
     full = index.count() == shards
     marked = _marked_by_broadcast(own, index, min_chars) if size <= broadcast_bytes and (full or not size) else _marked_by_shuffle(own, index, min_chars, shards)
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+    made = ["n_lines", "n_dropped", "kept_sha256", "kept"]
+    fields = [*T._parse_datatype_string("doc_id long, th long, n_lines long, n_dropped long, kept_sha256 string, kept string"), own.schema["row"]]
 
     def cut(batches):
         for batch in batches:
-            out = {k: [] for k in schema.names}
-            for doc_id, th, text, drop in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), tk.text_bytes(batch["text"]), batch["drop"].to_pylist()):
+            out = {k: [] for k in made}
+            for text, drop in zip(tk.text_bytes(batch["text"]), batch["drop"].to_pylist()):
                 n, gone = text.count(b"\n") + 1, set(drop or ())
                 kept = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in gone) if gone else text
-                for k, v in zip(out, (doc_id, th, n, len(gone), hashlib.sha256(kept).hexdigest(), kept)):
+                for k, v in zip(out, (n, len(gone), hashlib.sha256(kept).hexdigest(), kept)):
                     out[k].append(v)
-            out["kept"] = pa.array(out["kept"], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            cols = [pa.array(out[k], t) for k, t in zip(made, (pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *cols[:3], cols[3].cast(pa.string()), batch["row"]], names=["doc_id", "th", *made, "row"])
 
-    return marked.mapInArrow(cut, "doc_id long, th long, n_lines long, n_dropped long, kept_sha256 string, kept string")
+    return marked.mapInArrow(cut, T.StructType(fields))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).drop("th", "kept")
+    return line_dedup(table(spark, sf_dir, "documents")).drop("th", "kept", "row")
 
 
 SQL = f"""

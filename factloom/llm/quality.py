@@ -43,6 +43,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         pair = w.doc[1:] == w.doc[:-1]
         doc.append(w.doc[1:][pair])
         h.append(tk.ngrams(w.hash, 2)[pair])
+        again = pair & (w.hash[1:] == w.hash[:-1])  # a word that repeats is a feature by itself
+        doc.append(w.doc[1:][again])
+        h.append(np.full(int(again.sum()), 1 << 40, U))
     size = np.diff(w.offsets)
     owner = np.repeat(np.arange(len(texts)), size)
     for width in WIDTHS:

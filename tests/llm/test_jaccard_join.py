@@ -62,7 +62,7 @@ def test_same_as_brute_force(spark):
     for seed, frequent in ((1, 48), (2, 6), (3, 3)):
         rows = corpus(seed)
         docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS).repartition(3)
-        got = jj.jaccard_components(docs, frequent=frequent).drop("th").collect()
+        got = jj.jaccard_components(docs, frequent=frequent).drop("th", "root").collect()
         assert len(got) == len(rows)
         assert {tuple(x) for x in got} == brute(rows, 4, 85)
 
