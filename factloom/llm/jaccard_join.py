@@ -268,7 +268,8 @@ def _full_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, th, n_shingles, component_id."""
+    """docs (doc_id, text, ...) -> doc_id, th, n_shingles, component_id, root (number of the
+    component; documents without shingles share one and are no group)."""
     own = keyed(docs)
     often = frequent_tokens(own, n, frequent)
     sets = stage(_sets(own, n, percent, often), "op8-sets")
@@ -301,10 +302,10 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     classes = owner.join(roots, owner["key"] == roots["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     classes = stage(classes, "op8-classes")
     least = stage(classes.groupBy("root").agg(F.min("first").alias("component_id")), "op8-least")
-    named = stage(classes.join(least, "root").select("key", "component_id"), "op8-named")
+    named = stage(classes.join(least, "root").select("key", "component_id", "root"), "op8-named")
     out = sets.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "key").join(named, "key")
-    return out.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("th")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("th", "root")
