@@ -59,7 +59,7 @@ def log(spark, d) -> DataFrame:
 LOG = """log AS (SELECT event_id + 1 AS lsn, event_id % 4 AS shard,
  CASE event_type WHEN 'purchase' THEN 'recordUpserted' WHEN 'error' THEN 'recordDeleted' WHEN 'signup' THEN 'userUpserted' WHEN 'view' THEN 'messageCreated' WHEN 'click' THEN 'userEventPublished' END AS kind,
  'accounts' AS tbl, CAST(user_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) AS user_id, CAST(user_id % 16 AS VARCHAR) AS room, value,
- epoch_ms(ts) AS ts_ms, props, 'm' || CAST((event_id * 7) % 5000 AS VARCHAR) AS mutation_id, event_id // 1000 AS file FROM events),
+ epoch_us(ts) // 1000 AS ts_ms, props, 'm' || CAST((event_id * 7) % 5000 AS VARCHAR) AS mutation_id, event_id // 1000 AS file FROM events),
  ops AS (SELECT * FROM log WHERE kind IN ('recordUpserted', 'recordDeleted')),
  laststate AS (SELECT * FROM ops QUALIFY row_number() OVER (PARTITION BY tbl, key ORDER BY lsn DESC) = 1),
  folded AS (SELECT * FROM laststate WHERE kind = 'recordUpserted')"""
