@@ -175,8 +175,8 @@ def _pairs(sets: DataFrame, parts: int, percent: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
-    left = pairs.join(bodies.select(F.col("key").alias("a"), F.col("body").alias("x")), "a")
-    both = left.join(bodies.select(F.col("key").alias("b"), F.col("body").alias("y")), "b")
+    left = pairs.join(bodies.select(F.col("key").alias("a"), F.col("body").alias("x")).hint("merge"), "a")
+    both = left.join(bodies.select(F.col("key").alias("b"), F.col("body").alias("y")).hint("merge"), "b")
 
     def check(batches):
         for batch in batches:
@@ -282,7 +282,8 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     rows = sets.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("r"))
     rows = stage(rows.join(wanted, "key").select("key", "r.doc_id", "r.th"), "op8-rows")
-    texts = own.join(rows, same_row(own, rows)).select("key", "text").dropDuplicates(["key"])
+    # A sort-merge join at every size: these sides grow with the documents.
+    texts = own.join(rows.hint("merge"), same_row(own, rows)).select("key", "text").dropDuplicates(["key"])
 
     def bodies_of(batches):
         for batch in batches:
