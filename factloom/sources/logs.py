@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOG_SCHEMA = T._parse_datatype_string("lsn long, shard long, kind string, tbl string, key string, value double, ts_ms long, mutation_id string")
+LOG_SCHEMA = T.StructType([
+    T.StructField(n, t)
+    for n, t in (("lsn", T.LongType()), ("shard", T.LongType()), ("kind", T.StringType()), ("tbl", T.StringType()), ("key", T.StringType()), ("value", T.DoubleType()), ("ts_ms", T.LongType()), ("mutation_id", T.StringType()))
+])
 
 
 def read_json_log(spark: SparkSession, path: str, schema: T.StructType = LOG_SCHEMA) -> DataFrame:
