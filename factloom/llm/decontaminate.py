@@ -7,8 +7,9 @@
    the executors and sums the small products, the driver only orthogonalises a matrix of
    words x RANK.
 3. Windows of several lengths slide over every document. A window whose weight lies mostly
-   on words that no item has cannot be a copy and is passed over; the others are projected
-   and compared by cosine with the items.
+   on words that no item has cannot lie inside a copy and is passed over (some window lies
+   inside any copy and covers half of it); the others are projected and compared by cosine (in full space, relative to what the projection keeps of an item)
+   with the items of about their length. At least half of a candidate's weight must lie on the item's words.
 4. Candidates are checked on the words: the longest common subsequence must cover
    ``COVER`` of the item, or ``PARAPHRASE`` of it if the item's answer (its last sentence)
    stands in the passage as it is.
@@ -23,6 +24,8 @@ null; an empty table on either side gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +39,10 @@ HASHED = 1 << 16
 RANK = 48
 POWER = 2
 ITEMS = 4000
-LENGTHS = (8, 16, 24, 36, 54, 81)
-SHARE = 0.4
-COSINE = 0.6
+LENGTHS = (8, 12, 18, 27, 40, 60, 90)
+SHARE = 0.6
+MEMBERS = 0.5
+COSINE = 0.5
 COVER = 0.8
 PARAPHRASE = 0.6
 SHORTEST = 8
@@ -162,7 +166,12 @@ class Retriever:
         self.ids, self.words = ids, [h.tolist() for h in hashes]
         self.answers = [_words([answer_of(t)]).hash.tolist() for t in texts]
         self.vocab, self.idf, self.vectors, self.df, self.docs = vocab, idf, vectors, df, docs
-        latent = _matrix(hashes, vocab, idf) @ vectors
+        full = _matrix(hashes, vocab, idf)
+        latent = full @ vectors
+        self.size = np.array([len(h) for h in hashes])
+        self.own = np.unique(np.concatenate([i * len(vocab) + np.searchsorted(vocab, h) for i, h in enumerate(hashes)])) if len(vocab) else np.zeros(0, np.int64)
+        # An item's cosine with its own projection; a copy of it reaches as much and no more.
+        self.kept = np.maximum(np.linalg.norm(latent, axis=1), 1e-12) / np.maximum(np.linalg.norm(full, axis=1), 1e-12)
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def windows(self, w: tk.Words, known: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +190,18 @@ class Retriever:
         both = np.unique(np.column_stack([np.concatenate(starts), np.concatenate(ends)]), axis=0)
         return both[:, 0], both[:, 1]
 
+    def members(self, a, b, start, n, at, mass) -> np.ndarray:
+        """Weight (squared) of the words of window a[i] that are words of item b[i]."""
+        out = np.zeros(len(a))
+        for lo in range(0, len(a), 4096):
+            x, y = a[lo : lo + 4096], b[lo : lo + 4096]
+            m = n[x]
+            flat = np.repeat(start[x] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            key = np.repeat(y, m) * len(self.vocab) + at[flat]
+            spot = np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)
+            out[lo : lo + 4096] = np.add.reduceat(np.where(self.own[spot] == key, mass[flat], 0), np.cumsum(m) - m)
+        return out
+
     def search(self, texts: list[bytes]) -> list[tuple[int, int, float, float, int]]:
         """(text, item id, cosine, cover, first word) of each item found in a text."""
         w = _words(texts)
@@ -188,7 +209,9 @@ class Retriever:
             return []
         at = np.minimum(np.searchsorted(self.vocab, w.hash), len(self.vocab) - 1)
         known = self.vocab[at] == w.hash
-        weight = np.where(known, self.idf[at], weights(w.hash, self.df, self.docs))
+        for k in range(1, 9):  # a word said over and over speaks for no item
+            known[k:] &= w.hash[k:] != w.hash[:-k]
+        weight = weights(w.hash, self.df, self.docs)
         start, end = self.windows(w, known, weight)
         hits: dict[tuple[int, int], list] = {}
         for lo in range(0, len(start), 2048):
@@ -197,8 +220,12 @@ class Retriever:
             flat = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
             rows = self.vectors[at[flat]] * np.where(known[flat], weight[flat], 0)[:, None].astype(np.float32)
             x = np.add.reduceat(rows, np.cumsum(n) - n, axis=0)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            for a, b in zip(*np.nonzero((cos := x @ self.latent.T) >= COSINE)):
+            norm = np.sqrt(np.add.reduceat(weight[flat] ** 2, np.cumsum(n) - n))
+            cos = (x @ self.latent.T) / (np.maximum(norm, 1e-12)[:, None] * self.kept[None, :])
+            fits = (n[:, None] >= np.minimum(0.5 * self.size, LENGTHS[-2])[None, :]) & (n[:, None] <= 1.3 * self.size[None, :])
+            a, b = np.nonzero((cos >= COSINE) & fits)
+            near = self.members(a, b, s, n, at, np.where(known, weight**2, 0)) >= MEMBERS * norm[a] ** 2
+            for a, b in zip(a[near], b[near]):
                 hits.setdefault((int(w.doc[s[a]]), int(b)), []).append((-float(cos[a, b]), int(s[a]), int(e[a])))
         out = []
         for (doc, item), spots in sorted(hits.items()):
@@ -223,6 +250,8 @@ class Retriever:
         words, answer = self.words[item], self.answers[item]
         if len(words) < SHORTEST:
             return float(bool(words) and holds(passage, words))
+        if sum((Counter(words) & Counter(passage)).values()) < PARAPHRASE * len(words):
+            return 0.0
         # A copy keeps together: the best stretch of half again the item's length counts.
         reach = len(words) + len(words) // 2
         best = 0
