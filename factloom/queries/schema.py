@@ -206,3 +206,42 @@ def import_preflight(spark, d):
     logs.export_bundle(m.log(spark, d), f"{path}/bundle", 5000)
     rows = [(at, x) for at in (5000, 4000) for x in (logs.import_preflight(spark, f"{path}/bundle", at, m.SHARDS) or ["ok"])]
     return spark.createDataFrame(rows, "target_lsn long, finding string")
+
+
+@register("transaction_issues", f"""WITH {CUSTOMERS}, o AS (SELECT (lsn - 1) // 3 AS txn, 'customer' AS tbl, CASE WHEN lsn % 17 = 0 THEN '5' WHEN lsn % 17 = 1 THEN '5' ELSE CAST((lsn - 1) // 3 AS VARCHAR) END AS key, CASE WHEN lsn % 29 = 0 THEN 'volatile' ELSE 'strict' END AS durability FROM cust),
+ g AS (SELECT txn, count(*) AS ops, count(DISTINCT {m.SHARD.format("tbl || ':' || key", 4)}) AS shards, count(DISTINCT key) AS keys, max(CAST(durability = 'volatile' AS INT)) AS v FROM o GROUP BY txn)
+ SELECT txn, ops, concat_ws(',', CASE WHEN ops > 500 THEN 'tooManyOps' END, CASE WHEN shards > 1 THEN 'manyShards' END, CASE WHEN keys < ops THEN 'keyTwice' END, CASE WHEN v = 1 THEN 'volatile' END) AS issues FROM g""")
+def transaction_issues(spark, d):
+    from factloom.operators.writes import transaction_issues as issues
+
+    txn = F.floor((F.col("lsn") - 1) / 3)
+    key = F.when(F.col("lsn") % 17 <= 1, F.lit("5")).otherwise(txn.cast("string"))
+    rows = m.customers(spark, d).select(txn.alias("txn"), F.lit("customer").alias("tbl"), key.alias("key"), F.when(F.col("lsn") % 29 == 0, "volatile").otherwise("strict").alias("durability"))
+    return issues(rows, 4)
+
+
+@register("batch_split", f"""WITH {LOG}, o AS (SELECT lsn // 1000 AS batch, lsn AS position, tbl, key, {m.SHARD.format("tbl || ':' || key", 4)} AS shard FROM ops), c AS (SELECT *, (row_number() OVER (PARTITION BY batch, shard ORDER BY position) - 1) // 50 AS chunk FROM o)
+ SELECT batch, position, shard, chunk, 'b' || CAST(batch AS VARCHAR) || ':' || lpad(CAST(shard * 100 + chunk AS VARCHAR), 3, '0') || ':records' AS child_id FROM c""")
+def batch_split(spark, d):
+    from factloom.operators.writes import split_batch
+
+    rows = m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE))
+    batch = F.floor(F.col("lsn") / 1000)
+    rows = rows.select(batch.alias("batch"), F.col("lsn").alias("position"), "tbl", "key", F.concat(F.lit("b"), batch.cast("string")).alias("mutation_id"))
+    return split_batch(rows, 4, 50).select("batch", "position", "shard", "chunk", "child_id")
+
+
+@register("trace_object", f"WITH {m.SOURCES} SELECT source FROM src WHERE list_contains(refs, '12')")
+def trace_object(spark, d):
+    from factloom.operators.writes import deep_search
+
+    rows = m.sources(spark, d).select("source", F.to_json(F.struct("refs")).alias("value"))
+    return rows.filter(deep_search(F.col("value"), "12")).select("source")
+
+
+@register("sealed_checksums", f"WITH {LOG} SELECT lsn, length(key) > 0 AS sealed FROM log WHERE lsn % 5 = 0")
+def sealed_checksums(spark, d):
+    from factloom.operators.writes import seal
+
+    rows = m.log(spark, d).filter("lsn % 5 = 0").withColumn("checksum", F.when(F.col("lsn") % 2 == 0, F.lit("f" * 64)))
+    return seal(rows, ["lsn", "kind", "key", "value"]).select("lsn", (F.length("checksum") == 64).alias("sealed"))
