@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": license_scan.SQL,
         "op4_line_dedup": line_dedup.SQL,
         "op5_warc": warc.SQL,
+        "op8_jaccard_join": jaccard_join.SQL,
     }
