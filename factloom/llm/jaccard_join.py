@@ -86,7 +86,7 @@ def frequent_tokens(own: DataFrame, n: int, above: int) -> tuple[np.ndarray, np.
                     seen.add(key)
                     held.append(tokens)
                     size += len(tokens)
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         yield flush()
                         seen, held, size = set(), [], 0
         if held:
