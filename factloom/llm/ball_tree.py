@@ -6,8 +6,8 @@ a k-th score; that score goes along to all other shards, where a node is entered
 the queries whose upper bound ``q.c + |q| r`` reaches it. Work and traffic are those of a
 stated query set against all rows in blocks; nothing is broadcast or collected.
 
-Scores are exact: products are of integers, in float64 while they stay below 2**53 and in
-int64 beyond.
+Scores are exact: products are of integers, in float32 or float64 while they stay below 2**24
+or 2**53 and in int64 beyond.
 
 Rows: vectors that are null, empty or hold a null or non-finite component take no part, nor
 do rows without id. A row that repeats (same id, same vector) counts once; rows of the
@@ -63,7 +63,8 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact integer inner products, as int64."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
     if top < 2**53:
-        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
+        kind = np.float32 if top < 2**24 else np.float64
+        return (q.astype(kind) @ v.astype(kind).T).astype(np.int64)
     return q @ v.T
 
 
@@ -93,7 +94,7 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k:
             got = scores(q[part], tree.vectors[lo:hi])
             got[ids[part][:, None] == tree.ids[lo:hi][None, :]] = np.iinfo(np.int64).min
             both = np.concatenate([best[part], got], axis=1)
-            best[part] = -np.partition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else both
+            best[part] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
             floor[part] = np.maximum(floor[part], best[part].min(axis=1))
             row, col = np.nonzero((got >= floor[part][:, None]) & (got > np.iinfo(np.int64).min))
             found.append((part[row], tree.ids[lo:hi][col], got[row, col]))
