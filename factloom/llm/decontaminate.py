@@ -6,13 +6,19 @@
    SVD finds its ``RANK`` leading directions: every pass multiplies the rows' partitions on
    the executors and sums the small products, the driver only orthogonalises a matrix of
    words x RANK.
-3. Windows of several lengths slide over every document. A window whose weight lies mostly
-   on words that no item has cannot lie inside a copy and is passed over (some window lies
-   inside any copy and covers half of it); the others are projected and compared by cosine (in full space, relative to what the projection keeps of an item)
-   with the items of about their length. At least half of a candidate's weight must lie on the item's words.
-4. Candidates are checked on the words: the longest common subsequence must cover
-   ``COVER`` of the item, or ``PARAPHRASE`` of it if the item's answer (its last sentence)
-   stands in the passage as it is.
+3. Windows of several lengths slide over every document and are compared by cosine in latent
+   space (relative to what the projection keeps of an item) with the items of about their
+   length. Windows whose weight lies mostly on words that no item has are passed over, and
+   so are candidates of which less than half the weight lies on the item's words.
+4. That search is approximate. What it passes over is found by what every match must share
+   with its item: enough of the item's rarest words within one stretch (``_index`` has the
+   bound, which follows from ``COVER``), or its answer word for word. The bound is used
+   for items longer than the longest window.
+5. Candidates are checked on the words. For some stretch of half again the item's length the
+   longest common subsequence must cover ``COVER`` of the item, or ``PARAPHRASE`` of it if
+   the item's answer (its last sentence, of three words or more) stands as it is in the
+   stretch or within half an item's length of it. All stretches are judged; those that
+   cannot reach it by their count of words are passed over.
 
 The benchmark is taken in blocks of ``ITEMS`` items, so what is broadcast is bounded; the
 documents are read once a block (one block for usual benchmarks) and never shuffled.
@@ -24,8 +30,6 @@ null; an empty table on either side gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +51,9 @@ COVER = 0.8
 PARAPHRASE = 0.6
 SHORTEST = 8
 SEED = 5
+#: least_hits is a HITS-th of the words a match needs; hits held at a time.
+HITS = 4
+MOST_HITS = 1 << 20
 
 GAP = np.ones(256, bool)
 GAP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -133,22 +140,54 @@ def randomised_svd(items: DataFrame, vocab: np.ndarray, idf: np.ndarray, rank: i
     return (q @ vectors[:, np.argsort(-values)]).astype(np.float32)
 
 
-def lcs(a: list, b: list) -> int:
-    """Length of the longest common subsequence, bit-parallel over ``a``."""
+def masks_of(a: list) -> dict:
     masks: dict = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | (1 << i)
+    return masks
+
+
+def lcs(a: list, b: list, masks: dict | None = None) -> int:
+    """Length of the longest common subsequence, bit-parallel over ``a``."""
+    masks = masks_of(a) if masks is None else masks
     full = (1 << len(a)) - 1
     v = full
     for x in b:
-        u = v & masks.get(x, 0)
-        v = ((v + u) | (v - u)) & full
+        m = masks.get(x)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
     return len(a) - v.bit_count()
 
 
-def holds(words: list, phrase: list) -> bool:
-    n = len(phrase)
-    return any(words[i : i + n] == phrase for i in range(len(words) - n + 1))
+def lcs_end(a: list, b: list) -> int:
+    """Words of ``b`` from its start that have its whole common subsequence with ``a``."""
+    masks, full, end = masks_of(a), (1 << len(a)) - 1, 0
+    v = full
+    for i, x in enumerate(b):
+        u = v & masks.get(x, 0)
+        new = ((v + u) | (v - u)) & full
+        if new.bit_count() < v.bit_count():
+            end = i + 1
+        v = new
+    return end
+
+
+def least(share: float, n: int) -> int:
+    """The smallest k with k / n >= share."""
+    return int(np.ceil(share * n - 1e-9))
+
+
+def word_prefix(h: np.ndarray) -> np.ndarray:
+    """Prefix sums with which ``textkit.spans`` hashes any run of words."""
+    out = np.zeros(len(h) + 1, U)
+    np.cumsum(h * tk.powers(len(h) + 1)[0][: len(h)], out=out[1:])
+    return out
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (n[i] of them) for every i."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def answer_of(text: bytes) -> bytes:
@@ -158,7 +197,7 @@ def answer_of(text: bytes) -> bytes:
 
 
 class Retriever:
-    """Items in latent space and the search for them in a block of texts."""
+    """Items in latent space, their rarest words, and the search for both in a block of texts."""
 
     def __init__(self, ids, texts, vocab, idf, vectors, df, docs):
         w = _words(texts)
@@ -173,6 +212,130 @@ class Retriever:
         # An item's cosine with its own projection; a copy of it reaches as much and no more.
         self.kept = np.maximum(np.linalg.norm(latent, axis=1), 1e-12) / np.maximum(np.linalg.norm(full, axis=1), 1e-12)
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        self.reach = self.size + self.size // 2
+        self.bags = [np.unique(h, return_counts=True) for h in hashes]
+        self.masks: dict[int, dict] = {}
+        self._index(hashes)
+
+    def _index(self, hashes: list[np.ndarray]) -> None:
+        """What any match must share with its item, on the item's rarest words.
+
+        ``COVER`` of n words leaves out at most n - k of them. So of any n - k + m words of
+        the item at least m stand in the stretch; the rarest are taken, m is ``least_hits``.
+        Short items and answers stand word for word: they are found at their rarest word.
+        """
+        self.least_hits = np.zeros(len(hashes), np.int64)
+        pairs, phrases = [], []
+        for i, h in enumerate(hashes):
+            n = len(h)
+            if not n:
+                continue
+            at = np.searchsorted(self.vocab, h)
+            if n < SHORTEST:
+                phrases.append((i, h))
+                continue
+            if len(self.answers[i]) >= 3:
+                phrases.append((i, np.array(self.answers[i], U)))
+            if n <= LENGTHS[-1]:
+                continue
+            k = least(COVER, n)
+            self.least_hits[i] = m = max(1, k // HITS)
+            rare = at[np.argsort(-self.idf[at], kind="stable")][: n - k + m]
+            pairs.append(i * len(self.vocab) + np.unique(rare))
+        pairs = np.concatenate([np.zeros(0, np.int64), *pairs])
+        self.pair_item, self.pair_word = pairs // max(1, len(self.vocab)), pairs % max(1, len(self.vocab))
+        at = [np.searchsorted(self.vocab, h) for _, h in phrases]
+        off = [int(np.argmax(self.idf[x])) for x in at]
+        order = np.argsort([x[o] for x, o in zip(at, off)], kind="stable").astype(int)
+        self.phrase_word = np.array([at[j][off[j]] for j in order], np.int64)
+        self.phrase_item = np.array([phrases[j][0] for j in order], np.int64)
+        self.phrase_off = np.array([off[j] for j in order], np.int64)
+        self.phrase_len = np.array([len(phrases[j][1]) for j in order], np.int64)
+        self.phrase_hash = np.array([tk.spans(word_prefix(phrases[j][1]), np.array([0]), np.array([len(phrases[j][1])]))[0] for j in order], U)
+
+    def phrases(self, w: tk.Words, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, start and length of the short items and answers that stand in the texts."""
+        pos = np.flatnonzero(known)
+        lo, hi = (np.searchsorted(self.phrase_word, at[pos], side) for side in ("left", "right"))
+        row, pos = spread(lo, hi - lo), np.repeat(pos, hi - lo)
+        start = pos - self.phrase_off[row]
+        end = start + self.phrase_len[row]
+        inside = (start >= w.first[w.doc[pos]]) & (end <= w.first[w.doc[pos] + 1])
+        row, start, end = row[inside], start[inside], end[inside]
+        same = tk.spans(word_prefix(w.hash), start, end) == self.phrase_hash[row]
+        return self.phrase_item[row[same]], start[same], end[same] - start[same]
+
+    def stretches(self, w: tk.Words, at: np.ndarray, known: np.ndarray):
+        """(item, first start, last start) of the stretches that hold ``least_hits`` of an
+        item's rarest words. Items are taken in groups of at most ``MOST_HITS`` such words."""
+        pos = np.flatnonzero(known)
+        pos = pos[np.argsort(at[pos], kind="stable")]
+        begin = np.searchsorted(at[pos], np.arange(len(self.vocab) + 1))
+        n = np.diff(begin)[self.pair_word]
+        upto = np.cumsum(n)
+        item_end = np.append(np.flatnonzero(np.diff(self.pair_item)) + 1, len(n))
+        lo = 0
+        while lo < len(n):
+            base = upto[lo - 1] if lo else 0
+            ends = item_end[item_end > lo]
+            hi = ends[max(0, np.searchsorted(upto[ends - 1], base + MOST_HITS, "right") - 1)]
+            key = np.repeat(self.pair_item[lo:hi], n[lo:hi]) * len(w) + pos[spread(begin[self.pair_word[lo:hi]], n[lo:hi])]
+            lo = hi
+            key.sort()
+            item, p = key // len(w), key % len(w)
+            last = np.arange(len(key)) + self.least_hits[item] - 1
+            ok = last < len(key)
+            item, p, last = item[ok], p[ok], last[ok]
+            near = (key[last] - item * len(w) < np.minimum(p + self.reach[item], w.first[w.doc[p] + 1])) & (key[last] < (item + 1) * len(w))
+            item, p, q = item[near], p[near], key[last[near]] % len(w)
+            if not len(item):
+                continue
+            first = np.maximum(q - self.reach[item] + 1, w.first[w.doc[p]])
+            new = np.append(True, (np.diff(item) != 0) | (first[1:] > p[:-1] + 1))
+            a = np.flatnonzero(new)
+            yield from zip(item[a].tolist(), first[a].tolist(), p[np.append(a[1:], len(p)) - 1].tolist())
+
+    def best(self, item: int, region: np.ndarray, starts: int, need: int) -> tuple[int, int]:
+        """(words of the item in order, start) of the best stretch from one of the first
+        ``starts`` words of the region; (0, 0) if none has ``need``."""
+        own, count = self.bags[item]
+        n, reach = int(self.size[item]), int(self.reach[item])
+        spot = np.minimum(np.searchsorted(own, region), len(own) - 1)
+        p = np.flatnonzero(own[spot] == region)
+        if len(p) < need:
+            return 0, 0
+        order = np.argsort(spot[p], kind="stable")
+        p, x = p[order], spot[p[order]]
+        # An occurrence counts for the starts that have less than the item's count before it.
+        back = np.arange(len(p)) - count[x]
+        known = np.maximum(back, 0)
+        before = np.where((back >= 0) & (x[known] == x), p[known], -1)
+        first = np.maximum(np.maximum(before, p - reach) + 1, 0)
+        common = np.cumsum(np.bincount(first, minlength=len(region) + 1) - np.bincount(p + 1, minlength=len(region) + 1))[:starts]
+        at = np.flatnonzero(common >= need)
+        if not len(at):
+            return 0, 0
+        words, masks = region.tolist(), self.masks.get(item)
+        if masks is None:
+            masks = self.masks[item] = masks_of(self.words[item])
+        found, i = (0, 0), 0
+        while i < len(at):
+            s = int(at[i])
+            k = lcs(self.words[item], words[s : s + reach], masks)
+            if k >= need:
+                found, need = (k, s), k + 1
+                if k == n:
+                    break
+                at = at[(at > s) & (common[at] >= need)]
+                i = 0
+            else:  # a step of one word adds one at most
+                i = int(np.searchsorted(at, s + need - k))
+        return found
+
+    def cosine(self, item: int, at: np.ndarray, known: np.ndarray, weight: np.ndarray) -> float:
+        """Of a stretch with an item: in latent space, relative to what it keeps of the item."""
+        x = (self.vectors[at] * np.where(known, weight, 0)[:, None]).sum(axis=0)
+        return float(min(1.0, x @ self.latent[item] / (max(np.sqrt((weight**2).sum()), 1e-12) * self.kept[item])))
 
     def windows(self, w: tk.Words, known: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[start, end) in words of the windows that may be copies."""
@@ -203,16 +366,19 @@ class Retriever:
         return out
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, float, float, int]]:
-        """(text, item id, cosine, cover, first word) of each item found in a text."""
+        """(text, item id, cosine, cover, first word) of each item found in a text, for the
+        narrowest part of its best stretch."""
         w = _words(texts)
         if not len(w) or not len(self.vocab):
             return []
         at = np.minimum(np.searchsorted(self.vocab, w.hash), len(self.vocab) - 1)
         known = self.vocab[at] == w.hash
+        every = known.copy()
         for k in range(1, 9):  # a word said over and over speaks for no item
             known[k:] &= w.hash[k:] != w.hash[:-k]
         weight = weights(w.hash, self.df, self.docs)
         start, end = self.windows(w, known, weight)
+        # (text, item): [first start, last start, least words] where a match may begin
         hits: dict[tuple[int, int], list] = {}
         for lo in range(0, len(start), 2048):
             s, e = start[lo : lo + 2048], end[lo : lo + 2048]
@@ -226,41 +392,45 @@ class Retriever:
             a, b = np.nonzero((cos >= COSINE) & fits)
             near = self.members(a, b, s, n, at, np.where(known, weight**2, 0)) >= MEMBERS * norm[a] ** 2
             for a, b in zip(a[near], b[near]):
-                hits.setdefault((int(w.doc[s[a]]), int(b)), []).append((-float(cos[a, b]), int(s[a]), int(e[a])))
-        out = []
-        for (doc, item), spots in sorted(hits.items()):
-            words, best, done = self.words[item], (0.0, 0.0, 0), []
-            for c, s, e in sorted(spots):
-                if any(a <= s and e <= b for a, b in done):
-                    continue
-                around = max(4, len(words) - (e - s) // 2)
-                a, b = max(w.first[doc], s - around), min(w.first[doc + 1], e + around)
-                done.append((s - 2, e + 2))
-                found = self.check(item, w.hash[a:b].tolist())
-                if found > best[1]:
-                    best = (-c, found, int(s - w.first[doc]))
-                if found == 1.0:
+                if self.size[b] >= SHORTEST:
+                    hits.setdefault((int(w.doc[s[a]]), int(b)), []).append((max(int(e[a] - self.reach[b]), int(w.first[w.doc[s[a]]])), int(s[a]), least(COVER, int(self.size[b]))))
+        for b, s, e in self.stretches(w, at, every):
+            hits.setdefault((int(w.doc[s]), b), []).append((s, e, least(COVER, int(self.size[b]))))
+        whole: dict[tuple[int, int], tuple[int, int]] = {}
+        for b, s, n in zip(*(x.tolist() for x in self.phrases(w, at, every))):
+            doc, size = int(w.doc[s]), int(self.size[b])
+            if size < SHORTEST:
+                whole.setdefault((doc, b), (s, s + n))
+            else:
+                lo, hi = s + n - int(self.reach[b]) - size // 2, s + size // 2
+                hits.setdefault((doc, b), []).append((max(lo, int(w.first[doc])), min(hi, int(w.first[doc + 1]) - 1), least(PARAPHRASE, size)))
+        out = [(doc, self.ids[item], self.cosine(item, at[s:e], every[s:e], weight[s:e]), 1.0, int(s - w.first[doc])) for (doc, item), (s, e) in whole.items()]
+        for (doc, item), spots in hits.items():
+            size, best = int(self.size[item]), (0, 0)
+            for lo, hi, need in _merged(spots):
+                k, s = self.best(item, w.hash[lo : min(hi + int(self.reach[item]), w.first[doc + 1])], hi - lo + 1, max(need, best[0] + 1))
+                if k:
+                    best = (k, lo + s)
+                if k == size:
                     break
-            if best[1] > 0:
-                out.append((doc, self.ids[item], *best))
-        return out
-
-    def check(self, item: int, passage: list) -> float:
-        """How much of the item the passage covers; 0 if not enough."""
-        words, answer = self.words[item], self.answers[item]
-        if len(words) < SHORTEST:
-            return float(bool(words) and holds(passage, words))
-        if sum((Counter(words) & Counter(passage)).values()) < PARAPHRASE * len(words):
-            return 0.0
-        # A copy keeps together: the best stretch of half again the item's length counts.
-        reach = len(words) + len(words) // 2
-        best = 0
-        for lo in range(0, max(1, len(passage) - reach + 1), max(1, len(words) // 8)):
-            best = max(best, lcs(words, passage[lo : lo + reach]))
-        cover = best / len(words)
-        if cover >= COVER or (cover >= PARAPHRASE and len(answer) >= 3 and holds(passage, answer)):
-            return cover
-        return 0.0
+            if best[0]:
+                s = best[1]
+                stretch = w.hash[s : min(s + int(self.reach[item]), w.first[doc + 1])].tolist()
+                e = s + lcs_end(self.words[item], stretch)
+                s = e - lcs_end(self.words[item][::-1], stretch[: e - s][::-1])
+                out.append((doc, self.ids[item], self.cosine(item, at[s:e], every[s:e], weight[s:e]), best[0] / size, int(s - w.first[doc])))
+        return sorted(out, key=lambda x: (x[0], x[4]))
+
+
+def _merged(spots: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Ranges of starts of the same need, overlapping ones made one."""
+    out: list[tuple[int, int, int]] = []
+    for lo, hi, need in sorted(spots, key=lambda x: (-x[2], x[0])):
+        if out and out[-1][2] == need and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], hi), need)
+        else:
+            out.append((lo, hi, need))
+    return out
 
 
 def retrievers(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS):

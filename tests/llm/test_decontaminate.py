@@ -80,3 +80,54 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS)
     assert dc.contaminated(d.limit(0), b).count() == 0
     assert dc.contaminated(d, b.limit(0)).count() == 0
+
+
+def brute(items, docs):
+    """Pairs that the rules accept, by every stretch of every text."""
+    words = lambda t: dc._words([t.encode()]).hash.tolist()
+    held = lambda w, p: any(w[i : i + len(p)] == p for i in range(len(w) - len(p) + 1))
+    docs, out = [(i, words(t)) for i, t in docs], set()
+    for k, text in items:
+        a, answer = words(text), dc._words([dc.answer_of(text.encode())]).hash.tolist()
+        n, reach, masks = len(a), len(a) + len(a) // 2, dc.masks_of(a)
+        for i, w in docs:
+            if n < dc.SHORTEST:
+                if n and held(w, a):
+                    out.add((i, k))
+                continue
+            if dc.lcs(a, w, masks) < dc.PARAPHRASE * n:
+                continue
+            for s in range(len(w)):
+                cover = dc.lcs(a, w[s : s + reach], masks) / n
+                if cover >= dc.COVER or (cover >= dc.PARAPHRASE and len(answer) >= 3 and held(w[max(0, s - n // 2) : s + reach + n // 2], answer)):
+                    out.add((i, k))
+                    break
+    return out
+
+
+def found(spark, items, docs):
+    d = spark.createDataFrame([(i, t, "x", 0.0) for i, t in docs], DOCS).repartition(3)
+    return {(x.doc_id, x.item_id) for x in dc.contaminated(d, spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS)).collect()}
+
+
+def writer(seed):
+    """Prose and unseen words; common words are four in ten."""
+    r = random.Random(seed)
+    make = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(3, 9)))
+    vocab = [make() for _ in range(4000)]
+    return r, lambda n: [r.choice(["the", "of", "and", "to", "in", "is"]) if r.random() < 0.4 else r.choice(vocab) for _ in range(n)], lambda: make() + "zq" + make()
+
+
+def test_short_and_long_items(spark):
+    r, prose, _ = writer(21)
+    sizes = [1, 2, 3, 4, 5, 6, 7, 8, 9, 91, 200, 500, 800]
+    items = [(k, " ".join(["q" + x for x in prose(n)] if n < 4 else prose(n)) + ".") for k, n in enumerate(sizes * 2)]
+    docs = []
+    for k, text in items:
+        for _ in range(3):
+            around = prose(300)
+            at = r.randint(20, 280)
+            docs.append((len(docs), " ".join([*around[:at], text[:-1], *around[at:]])))
+    docs += [(len(docs) + j, " ".join(prose(400))) for j in range(20)]
+    got = found(spark, items, docs)
+    assert got == brute(items, docs) and got >= {(3 * k + j, k) for k, _ in items for j in range(3)}
