@@ -12,8 +12,8 @@
    so are candidates of which less than half the weight lies on the item's words.
 4. That search is approximate. What it passes over is found by what every match must share
    with its item: enough of the item's rarest words within one stretch (``_index`` has the
-   bound, which follows from ``COVER``), or its answer word for word. The bound is used
-   for items longer than the longest window.
+   bound, which follows from ``COVER``), or its answer word for word. No match is outside
+   the bound, so the answer does not depend on ``RANK`` or the windows.
 5. Candidates are checked on the words. For some stretch of half again the item's length the
    longest common subsequence must cover ``COVER`` of the item, or ``PARAPHRASE`` of it if
    the item's answer (its last sentence, of three words or more) stands as it is in the
@@ -234,14 +234,12 @@ class Retriever:
             if n < SHORTEST:
                 phrases.append((i, h))
                 continue
-            if len(self.answers[i]) >= 3:
-                phrases.append((i, np.array(self.answers[i], U)))
-            if n <= LENGTHS[-1]:
-                continue
             k = least(COVER, n)
             self.least_hits[i] = m = max(1, k // HITS)
             rare = at[np.argsort(-self.idf[at], kind="stable")][: n - k + m]
             pairs.append(i * len(self.vocab) + np.unique(rare))
+            if len(self.answers[i]) >= 3:
+                phrases.append((i, np.array(self.answers[i], U)))
         pairs = np.concatenate([np.zeros(0, np.int64), *pairs])
         self.pair_item, self.pair_word = pairs // max(1, len(self.vocab)), pairs % max(1, len(self.vocab))
         at = [np.searchsorted(self.vocab, h) for _, h in phrases]

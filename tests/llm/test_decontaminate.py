@@ -131,3 +131,19 @@ def test_short_and_long_items(spark):
     docs += [(len(docs) + j, " ".join(prose(400))) for j in range(20)]
     got = found(spark, items, docs)
     assert got == brute(items, docs) and got >= {(3 * k + j, k) for k, _ in items for j in range(3)}
+
+
+def test_altered_copies(spark):
+    r, prose, unseen = writer(22)
+    items = [(k, " ".join(prose(r.randint(8, 120))) + (". " + " ".join(prose(4)) if k % 2 else "") + ".") for k in range(60)]
+    docs = []
+    for k, text in items:
+        for share in (0.1, 0.15, 0.2, 0.3, 0.4):
+            own = text.replace(".", "").split()
+            for at in r.sample(range(len(own) - 4 if k % 2 else len(own)), int(share * len(own) * (0.9 if k % 2 else 1))):
+                own[at] = unseen()
+            for _ in range(r.choice([0, 0, len(own) // 4])):  # words put between
+                own.insert(r.randrange(len(own) - 4), unseen())
+            docs.append((len(docs), " ".join([*prose(r.randint(0, 150)), *own, *prose(r.randint(0, 150))])))
+    truth = brute(items, docs)
+    assert len(truth) > 200 and found(spark, items, docs) == truth
