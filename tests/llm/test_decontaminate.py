@@ -147,3 +147,22 @@ def test_altered_copies(spark):
             docs.append((len(docs), " ".join([*prose(r.randint(0, 150)), *own, *prose(r.randint(0, 150))])))
     truth = brute(items, docs)
     assert len(truth) > 200 and found(spark, items, docs) == truth
+
+
+def test_benchmark_of_thousands(spark):
+    r, prose, _ = writer(23)
+    items = [(k, " ".join(prose(r.randint(12, 60))) + ".") for k in range(3000)]
+    docs = [(k, " ".join([*prose(60), items[k][1], *prose(60)])) for k in r.sample(range(3000), 600)]
+    assert found(spark, items, docs) >= {(k, k) for k, _ in docs}
+
+
+def test_small_kept_norm():
+    """An item that the projection keeps nothing of is found all the same."""
+    _, prose, _ = writer(24)
+    texts = [" ".join(prose(30)).encode() for _ in range(50)]
+    vocab = np.unique(dc._words(texts).hash)
+    some = (vocab == dc._words(texts[:1]).hash[-1])[:, None].astype(np.float32)
+    r = dc.Retriever(list(range(50)), texts, vocab, np.ones(len(vocab)), some, np.zeros(dc.HASHED, np.int64), 1000)
+    around = " ".join(prose(50)).encode()
+    got = r.search([around + b" " + t + b" " + around for t in texts])
+    assert {x[:2] for x in got} >= {(i, i) for i in range(50)}
