@@ -166,3 +166,26 @@ def test_small_kept_norm():
     around = " ".join(prose(50)).encode()
     got = r.search([around + b" " + t + b" " + around for t in texts])
     assert {x[:2] for x in got} >= {(i, i) for i in range(50)}
+
+
+def test_repetitive_items(spark):
+    r, prose, unseen = writer(25)
+    one = lambda: [unseen() for _ in range(3)]
+    items = []
+    for k in range(60):
+        if k % 3 == 0:  # refrain
+            line = one()
+            own = [w for _ in range(6) for w in [*line, r.choice(["the", "of"])]]
+        elif k % 3 == 1:  # code sequence
+            own = [str(r.choice([7001, 7002, 7003 + k])) for _ in range(30)]
+        else:  # one term again and again
+            term = unseen()
+            own = [w for x in prose(15) for w in (term, x)]
+        items.append((k, " ".join(own) + "."))
+    items.append((60, "la " * 30 + "lu."))
+    docs = [(k, " ".join([*prose(80), t, *prose(80)])) for k, t in items]
+    docs.append((61, " ".join([*prose(80), *items[0][1].split()[:16], *"la la lu la".split()])))
+    docs += [(100, "the " * 20000), (101, (items[0][1].split()[0] + " ") * 20000), (102, ("7001 7002 " * 5000))]
+    truth = brute(items, docs[:62])
+    got = found(spark, items, docs)
+    assert truth >= {(k, k) for k, _ in items} and {x for x in got if x[0] < 100} == truth
