@@ -68,9 +68,9 @@ SUBS = """subs AS (SELECT CAST(c_custkey AS VARCHAR) AS sub_id, 'accounts' AS tb
  CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS VARCHAR) END AS prefix FROM customer WHERE c_custkey < 90 AND c_custkey % 3 <> 2)"""
 
 
-def _subscriptions(spark, d):
+def _subscriptions(spark, d, which="c_custkey < 90"):
     key = F.col("c_custkey").cast("string")
-    rows = m.table(spark, d, "customer").filter("c_custkey < 90 and c_custkey % 3 != 2")
+    rows = m.table(spark, d, "customer").filter("c_custkey % 3 != 2").filter(which)
     ranged = F.col("c_custkey") % 3 == 0
     return rows.select(key.alias("sub_id"), F.lit("accounts").alias("tbl"), F.when(ranged, key).alias("lower"), F.when(ranged, F.concat(key, F.lit("~"))).alias("upper"), F.when(~ranged, key).alias("prefix"))
 
@@ -81,6 +81,12 @@ def route_events(spark, d):
     return op.route_events(events, _subscriptions(spark, d))
 
 
+@register("route_events_all")
+def route_events_all(spark, d):
+    """All events to the subscriptions of all customers (two of three have one)."""
+    return op.route_events(m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE)), _subscriptions(spark, d, "true"))
+
+
 @register("targeted_events", f"WITH {CONNECTIONS} SELECT session_id, array_to_string(list_sort(list_intersect(rooms, ['1', '2', '3'])), ',') AS matched FROM conn WHERE len(list_intersect(rooms, ['1', '2', '3'])) > 0")
 def targeted_events(spark, d):
     both = F.array_sort(F.array_intersect("rooms", F.array(*map(F.lit, "123"))))
@@ -91,8 +97,18 @@ def targeted_events(spark, d):
  p AS (SELECT CAST(c_custkey AS VARCHAR) AS query_id, CAST(c_custkey * 2 AS VARCHAR) AS key FROM customer WHERE c_custkey < 60)
  SELECT query_id FROM e JOIN q ON e.tbl = q.tbl WHERE kind = 'recordDeleted' OR value >= least UNION SELECT query_id FROM e JOIN p ON e.key = p.key""")
 def affected_queries(spark, d):
-    events = m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE) & (F.col("lsn") > 9990))
-    own = m.table(spark, d, "customer").filter("c_custkey < 60")
+    return _affected(spark, d, "lsn > 9990", "c_custkey < 60")
+
+
+@register("affected_queries_all")
+def affected_queries_all(spark, d):
+    """The queries and pages of all customers, over all events."""
+    return _affected(spark, d, "true", "true")
+
+
+def _affected(spark, d, events, customers):
+    events = m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE)).filter(events)
+    own = m.table(spark, d, "customer").filter(customers)
     key = F.col("c_custkey").cast("string")
     queries = own.select(key.alias("query_id"), F.when(F.col("c_custkey") % 2 == 0, "accounts").otherwise("rooms").alias("tbl"), F.col("c_acctbal").alias("least"))
     return op.affected_queries(events, queries, own.select(key.alias("query_id"), (F.col("c_custkey") * 2).cast("string").alias("key")))
