@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": suffix_dedup.SQL,
         "op2_exact_top_k": ball_tree.SQL,
         "op3_license_scan": license_scan.SQL,
         "op4_line_dedup": line_dedup.SQL,

@@ -180,9 +180,7 @@ def least(share: float, n: int) -> int:
 
 def word_prefix(h: np.ndarray) -> np.ndarray:
     """Prefix sums with which ``textkit.spans`` hashes any run of words."""
-    out = np.zeros(len(h) + 1, U)
-    np.cumsum(h * tk.powers(len(h) + 1)[0][: len(h)], out=out[1:])
-    return out
+    return tk.running(tk.times(tk.reduce(h), tk.powers(len(h) + 1)[0][: len(h)]))
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:

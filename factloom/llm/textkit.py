@@ -1,8 +1,10 @@
 """Vectorised byte and word hashing over blocks of texts (numpy, no per-word Python).
 
-Hashes are polynomials modulo 2**64 with an odd base. The base has an inverse, so the hash
-of any byte span comes from two prefix sums and one product, and whole blocks of texts are
-hashed at once. Every hash depends on the span's bytes only, never on where it stands.
+Hashes are polynomials modulo the prime 2**61 - 1. (Modulo 2**64 every base has the same
+collisions: the Thue-Morse word of 1024 letters and its complement, for one.) The base has an
+inverse, so the hash of any byte span comes from two prefix sums and one product, and whole
+blocks of texts are hashed at once. Every hash depends on the span's bytes only, never on
+where it stands.
 """
 
 from __future__ import annotations
@@ -15,7 +17,10 @@ import pyarrow as pa
 U = np.uint64
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 61) - 1
+POINT = BASE % PRIME
+INVERSE = pow(POINT, -1, PRIME)
+CHUNK = 1 << 14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,7 +30,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BYTE = mix((np.arange(256, dtype=U) + U(1)) * U(BASE))
+def reduce(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x."""
+    x = (x & U(PRIME)) + (x >> U(61))
+    return x - U(PRIME) * (x >= U(PRIME))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for a, b under it."""
+    a1, a0, b1, b0 = a >> U(31), a & U((1 << 31) - 1), b >> U(31), b & U((1 << 31) - 1)
+    mid = a1 * b0 + a0 * b1
+    return reduce(a1 * b1 * U(2) + (mid >> U(30)) + ((mid & U((1 << 30) - 1)) << U(31)) + a0 * b0)
+
+
+def running(x: np.ndarray) -> np.ndarray:
+    """Prefix sums modulo the prime, from the empty one on."""
+    out, carry = np.zeros(len(x) + 1, U), U(0)
+    for lo in range(0, len(x), CHUNK):
+        high, low = np.cumsum(x[lo : lo + CHUNK] >> U(32)), np.cumsum(x[lo : lo + CHUNK] & U(0xFFFFFFFF))
+        # 2**61 is 1, so 32 bits up are 29 down for what leaves at the top.
+        total = reduce(((high & U((1 << 29) - 1)) << U(32)) + (high >> U(29))) + reduce(low)
+        out[lo + 1 : lo + 1 + len(total)] = total = reduce(reduce(total) + carry)
+        carry = total[-1]
+    return out
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -35,31 +64,56 @@ _up, _down = np.ones(1, U), np.ones(1, U)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, modulo 2**64; kept between calls."""
+    """POINT**i and POINT**-i for i < n, modulo the prime; kept between calls."""
     global _up, _down
     if len(_up) < n:
-        n = max(n, 1 << 20)
-        up, down = np.full(n, BASE, U), np.full(n, INVERSE, U)
-        up[0] = down[0] = 1
-        _up, _down = np.cumprod(up), np.cumprod(down)
+        n, tables = max(n, 1 << 20), []
+        for base in (POINT, INVERSE):
+            out = np.ones(n, U)
+            done = 1
+            while done < n:
+                more = min(done, n - done)
+                out[done : done + more] = times(out[:more], np.full(more, pow(base, done, PRIME), U))
+                done += more
+            tables.append(out)
+        _up, _down = tables
     return _up, _down
 
 
+def _by_chunks(fn, n: int) -> np.ndarray:
+    """fn(lo, hi) for neighbouring ranges, as one array: temporaries stay in the cache."""
+    out = np.empty(n, U)
+    for lo in range(0, n, CHUNK):
+        out[lo : lo + CHUNK] = fn(lo, min(n, lo + CHUNK))
+    return out
+
+
 def prefix(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    """Hash of every prefix of ``data`` (a byte counts one more than its value)."""
+    up = powers(len(data) + 1)[0]
+    out, carry = np.zeros(len(data) + 1, U), U(0)
+    for lo in range(0, len(data), CHUNK):
+        value, p = data[lo : lo + CHUNK].astype(U) + U(1), up[lo : min(lo + CHUNK, len(data))]
+        high, low = np.cumsum((p >> U(30)) * value), np.cumsum((p & U((1 << 30) - 1)) * value)  # under 2**54
+        total = reduce((high >> U(31)) + ((high & U((1 << 31) - 1)) << U(30)) + low + carry)
+        out[lo + 1 : lo + 1 + len(total)] = total
+        carry = total[-1]
     return out
 
 
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a - b + U(PRIME) * (a < b)
+
+
 def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each byte span [start, end)."""
-    return mix((pre[end] - pre[start]) * powers(len(pre))[1][start])
+    return mix(times(_less(pre[end], pre[start]), powers(len(pre))[1][start]))
 
 
 def windows(pre: np.ndarray, width: int) -> np.ndarray:
     """Hash of every span of ``width`` bytes, by start."""
-    n = len(pre) - width
-    return mix((pre[width:] - pre[:n]) * powers(len(pre))[1][:n])
+    down = powers(len(pre))[1]
+    return _by_chunks(lambda lo, hi: mix(times(_less(pre[lo + width : hi + width], pre[lo:hi]), down[lo:hi])), max(0, len(pre) - width))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

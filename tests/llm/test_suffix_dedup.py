@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
-from factloom.llm.suffix_dedup import remove_repeats
+import numpy as np
+
+from factloom.llm import textkit as tk
+from factloom.llm.suffix_dedup import SuffixArray, SuffixIndex, SuffixLevels, remove_repeats
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -57,3 +60,72 @@ def test_long_text_in_pieces(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_suffix_arrays_by_letters():
+    r = random.Random(3)
+    passage = "".join(r.choice("ab") for _ in range(70))
+    bodies = [(passage[r.randint(0, 30) :] + "".join(r.choice("ab") for _ in range(r.randint(5, 60)))).encode() for _ in range(90)]
+    for length in (8, 20, 25, 60):
+        levels, texts, seen = SuffixLevels(length), b"", Counter()
+        for lo in range(0, 90, 7):
+            levels.add(bodies[lo : lo + 7])
+        at = 0
+        for b in bodies:
+            seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+        want = []
+        for b in bodies:
+            want += [at + i for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1]
+            at += len(b)
+            texts += b
+        assert levels.repeated().tolist() == want
+        for level in levels.levels:
+            own = [level.data[i : i + length].tobytes() for i in level.start]
+            assert own == sorted(set(own))
+        assert sum(map(len, levels.levels)) == len(seen) and len(levels.levels) <= 1 + len(seen).bit_length()
+    assert len(SuffixArray.build([b"short"], 0, 8)[0]) == 0
+
+
+def test_later_batches_meet_the_stored_levels(spark, monkeypatch):
+    from factloom.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "BATCH", 900)
+    rows = corpus()
+    random.Random(1).shuffle(rows)
+    index = SuffixIndex(spark, buckets=3, min_len=60, gram=12)
+    key = lambda x: tuple((v is None, v) for v in x)
+    for lo, hi in ((0, 25), (25, 26), (26, len(rows))):
+        index.add(spark.createDataFrame(rows[lo:hi], DOCS))
+        got = index.kept().drop("kept", "spans").collect()
+        assert sorted(map(tuple, got), key=key) == sorted(brute(rows[:hi], 60), key=key)
+    assert index._before("dead", "id string").count() > 0
+    again = SuffixIndex(spark, index.folder, buckets=3, min_len=60, gram=12)
+    assert again.generations == 3
+
+
+def test_a_passage_in_very_many_documents(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij ") for _ in range(r.randint(3, 9)))
+    passage = " ".join(word() for _ in range(60))[:390]
+    rows = [(i, " ".join(word() for _ in range(20)) + passage + " ".join(word() for _ in range(20)), "x") for i in range(400)]
+    rows += [(1000 + i, "same start " + passage + " same end", "x") for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = remove_repeats(docs, hot=5).drop("kept", "spans").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 400))
+
+
+def test_very_long_texts(spark, monkeypatch):
+    from factloom.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh ") for _ in range(40_000))
+    rows = [(1, long, "x"), (2, "new " + long[9_000:31_000] + " end", "x"), (3, "z" * 5000, None), (4, long[100:900], "x")]
+    got = remove_repeats(spark.createDataFrame(rows, DOCS)).drop("kept", "spans").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 400))
+
+
+def test_no_structural_collisions():
+    a = np.array([bin(i).count("1") % 2 for i in range(4096)], np.uint8)
+    x, y = (tk.spans(tk.prefix(v), np.array([0]), np.array([4096])) for v in (a + 97, 98 - a))
+    assert x != y
