@@ -11,9 +11,10 @@ member after member. It owns the records that start inside its range, reads past
 finish the last one, and leaves what starts beyond to the next range.
 
 Rows: null html is an empty payload; pages with null id never are what others refer to while
-an id has the payload; equal pages of one id are all responses if theirs is the smallest;
-null urls give records without target; control characters in urls are percent-encoded; an
-empty table gives no files and no rows; other columns are not read.
+an id has the payload; equal pages of one id are all responses if theirs is the smallest.
+Record ids are unique: where an id repeats or is null, its records' ids carry a suffix, and a
+reference names the page. Null urls give records without target; control characters in urls
+are percent-encoded; an empty table gives no files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shared_dir, stage, table
+from factloom.llm.common import parts_for, shared_dir, stage, table
 
 MIN_PAYLOAD = 0
-SPLIT = 4 << 20
+SPLIT = 8 << 20
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
@@ -66,8 +67,8 @@ def _make_dir(path: str) -> None:
         store.create_dir(name, recursive=True)
 
 
-def page_urn(page_id: int | None, salt: str = "") -> bytes:
-    return f"<urn:x-page:{page_id if page_id is not None else 'none-' + salt}>".encode()
+def page_urn(page_id: int | None, suffix: str = "") -> bytes:
+    return f"<urn:x-page:{'none' if page_id is None else page_id}{':' + suffix if suffix else ''}>".encode()
 
 
 def record(headers: list[tuple[bytes, bytes]], block: bytes) -> bytes:
@@ -77,9 +78,9 @@ def record(headers: list[tuple[bytes, bytes]], block: bytes) -> bytes:
     return z.compress(head) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def page_record(page_id: int | None, url: bytes | None, payload: bytes, digest: str, refers_to: int | None, salt: str) -> bytes:
+def page_record(page_id: int | None, url: bytes | None, payload: bytes, digest: str, refers_to: int | None, suffix: str) -> bytes:
     kind = b"response" if refers_to is None else b"revisit"
-    headers = [(b"WARC-Type", kind), (b"WARC-Record-ID", page_urn(page_id, salt)), (b"WARC-Date", DATE)]
+    headers = [(b"WARC-Type", kind), (b"WARC-Record-ID", page_urn(page_id, suffix)), (b"WARC-Date", DATE)]
     if url is not None:
         headers.append((b"WARC-Target-URI", b"".join(b"%%%02X" % c if c < 33 or c == 127 else bytes([c]) for c in url)))
     headers += [(b"Content-Type", b"application/http; msgtype=response"), (b"WARC-Payload-Digest", b"sha1:" + digest.encode())]
@@ -104,6 +105,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = MIN_PAYLOAD, file
     same = rows.filter(F.col("size") >= least).groupBy("sha", "size").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     same = stage(same.filter("n > 1").select("sha", "size", "first"), "op5-same")
     rows = rows.join(same, ["sha", "size"], "left")
+    twice = stage(rows.filter("page_id is not null").groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1").select("page_id", F.lit(True).alias("twice")), "op5-twice")
+    rows = rows.join(twice, "page_id", "left")
 
     def write(batches):
         task = TaskContext.get()
@@ -119,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = MIN_PAYLOAD, file
                 out = None
 
         for batch in batches:
-            for page_id, url, payload, sha, first in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "sha", "first"))):
+            for page_id, url, payload, sha, first, twice in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "sha", "first", "twice"))):
                 if out is None:
                     path = f"{folder}/part-{part:06d}-{number:04d}.warc.gz"
                     temp = f"{path}.{uuid.uuid4().hex}.tmp"
@@ -129,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = MIN_PAYLOAD, file
                     size += len(info)
                 salt += 1
                 refers = first if first is not None and page_id != first else None
-                member = page_record(page_id, url, payload, _digest(sha), refers, f"{part}-{salt}")
+                member = page_record(page_id, url, payload, _digest(sha), refers, f"{part}-{salt}" if twice or page_id is None else "")
                 out.write(member)
                 size, count = size + len(member), count + 1
                 if size >= file_bytes:
@@ -137,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = MIN_PAYLOAD, file
         close()
         yield pa.RecordBatch.from_pydict({"path": [x[0] for x in done], "bytes": [x[1] for x in done], "records": [x[2] for x in done]}, schema=pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
-    return stage(rows.select("page_id", "url", "payload", "sha", "first").mapInArrow(write, "path string, bytes long, records long"), "op5-manifest")
+    return stage(rows.select("page_id", "url", "payload", "sha", "first", "twice").mapInArrow(write, "path string, bytes long, records long"), "op5-manifest")
 
 
 class _Window:
@@ -204,7 +207,7 @@ def parse(raw: bytes) -> tuple[dict[bytes, bytes], bytes]:
 
 
 def _page_of(urn: bytes | None) -> int | None:
-    name = (urn or b"").removeprefix(b"<urn:x-page:").removesuffix(b">")
+    name = (urn or b"").removeprefix(b"<urn:x-page:").removesuffix(b">").partition(b":")[0]
     return int(name) if name.lstrip(b"-").isdigit() else None
 
 
@@ -212,7 +215,9 @@ def read_archives(manifest: DataFrame, split: int = SPLIT) -> DataFrame:
     """manifest (path, bytes) -> page_id, url, payload, payload_bytes, payload_digest,
     record_type, refers_to, for each page record; digests of payloads are checked."""
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    # A task for each ``split`` bytes there are: the number is given, as the rows themselves
+    # are so small that Spark would merge them into one task.
+    ranges = ranges.repartition(parts_for(manifest.agg(F.sum("bytes")).first()[0] or 0, split))
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     schema = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()))))
 

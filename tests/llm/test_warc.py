@@ -59,3 +59,15 @@ def test_magic_inside_a_member_is_no_start(tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_record_ids_are_unique_and_ranges_get_tasks_of_their_own(spark, tmp_path):
+    rows = [(5, "u", "one"), (5, "u", "two"), (5, "u", "one"), (6, "u", "one"), (None, "u", "one"), (None, "u", "x")]
+    rows += [(100 + i, "u", random.Random(i).randbytes(800).hex()) for i in range(60)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/a", file_bytes=20_000)
+    size = manifest.agg({"bytes": "sum"}).first()[0]
+    assert warc.read_archives(manifest, split=5000).rdd.getNumPartitions() == -(-size // 5000)
+    ids = []
+    for path in tmp_path.glob("a/*.gz"):
+        ids += [x.split(b"\r\n")[0] for x in gzip.decompress(path.read_bytes()).split(b"WARC-Record-ID: ")[1:]]
+    assert len(ids) == len(set(ids)) == len(rows) + manifest.count()
