@@ -4,21 +4,21 @@ A line's key is the line without ASCII white space at both ends, A-Z lowered. Ke
 least ``min_chars`` code points that stand in at least ``min_docs`` documents lose all their
 lines except those in the largest doc_id holding the key.
 
-1. Each document gives its distinct long keys as 128-bit hashes; they are counted by key
-   with their largest doc_id (combined before the shuffle, so a line that a third of the
-   documents hold costs a row a task).
+1. Each document gives its distinct long keys as 128-bit hashes; the distinct ids of each key
+   are counted, with the largest (first combined by key and id, which spreads a line that a
+   third of the documents hold over all tasks, then by key).
 2. Keys that reach ``min_docs`` are dealt to shards of bounded size. Each shard becomes a
    minimal perfect hash over the first 64 bits, which indexes compact arrays: the second 64
    bits as fingerprint, the count of documents, and the document that keeps the line.
 3. Documents probe the arrays instead of joining lines. While all shards together stay
    under ``BROADCAST_BYTES`` (their measured size) they are broadcast and the documents are
    read once, without a shuffle. Beyond it each document's key hashes travel packed to the
-   shards and the numbers of the lines to drop travel back.
+   shards, in slices of bounded size, and the numbers of the lines to drop travel back.
 
-Rows: null and empty texts are one empty line; every row is a document (a repeated row
-counts again; rows of the keeping id all keep the line); rows with null id lose lines like
-others and never are the keeper while an id holds the key (if only they hold it, they keep
-it); an empty table gives no rows; other columns of ``docs`` are not read by ``line_dedup``.
+Rows: null and empty texts are one empty line; a document is an id: rows of one id count once
+for a line, each loses its own lines, and all rows of the keeping id keep the line. Rows
+without id lose lines like others, but count for none and never keep one. An empty table gives
+no rows; other columns of ``docs`` are not read by ``line_dedup``.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_KEYS = 1 << 17
 BROADCAST_BYTES = 48 << 20
+#: Bytes of key hashes that one task probes against a shard.
+SLICE_BYTES = 16 << 20
 BLANK = bytes([0x20, *range(0x09, 0x0E)])
-NO_KEEPER = np.iinfo(np.int64).min
 
 
 class PerfectHash:
@@ -134,7 +135,7 @@ def _key_rows(own: DataFrame, min_chars: int) -> DataFrame:
 def line_index(own: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """shard, index (bytes): the perfect hash over all keys that reach ``min_docs``."""
     rows = _key_rows(own, min_chars)
-    counts = rows.groupBy("key", "mark").agg(F.count("*").alias("rows"), F.max("doc_id").alias("keeper"))
+    counts = rows.filter("doc_id is not null").groupBy("key", "mark").agg(F.countDistinct("doc_id").alias("rows"), F.max("doc_id").alias("keeper"))
     often = stage(counts.filter(F.col("rows") >= min_docs), "op4-often")
     shards = parts_for(often.count(), SHARD_KEYS)
 
@@ -144,13 +145,13 @@ def line_index(own: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         index = LineIndex(key[order].view(U), mark[order].view(U), docs[order], keeper[order])
         return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(index)], pa.binary())})
 
-    dealt = often.select("key", "mark", "rows", F.coalesce("keeper", F.lit(int(NO_KEEPER))).alias("keeper"), F.pmod("key", F.lit(shards)).cast("int").alias("shard"))
+    dealt = often.select("key", "mark", "rows", "keeper", F.pmod("key", F.lit(shards)).cast("int").alias("shard"))
     return stage(dealt.groupBy("shard").applyInArrow(build, "shard int, index binary"), "op4-index")
 
 
 def _drops(index: LineIndex, key: np.ndarray, mark: np.ndarray, doc_id: int | None) -> np.ndarray:
     found, keeper = index.probe(key, mark)
-    return found & (keeper != (NO_KEEPER if doc_id is None else doc_id))
+    return found if doc_id is None else found & (keeper != doc_id)
 
 
 def _marked_by_broadcast(own: DataFrame, index: DataFrame, min_chars: int) -> DataFrame:
@@ -177,25 +178,24 @@ def _marked_by_broadcast(own: DataFrame, index: DataFrame, min_chars: int) -> Da
     return own.mapInArrow(probe, T.StructType([*own.schema.fields, T.StructField("drop", T.ArrayType(T.IntegerType()))]))
 
 
-def _marked_by_shuffle(own: DataFrame, index: DataFrame, min_chars: int, shards: int) -> DataFrame:
+def _marked_by_shuffle(own: DataFrame, index: DataFrame, min_chars: int, shards: int, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The same beyond the bound: packed hashes go to the shards, line numbers come back.
 
-    A shard's probes are cut into several rows' worth of tasks by ``slice``, and its index is
-    sent to each slice, so that no task holds all documents of a shard.
+    A shard's probes are cut into slices of about ``slice_bytes`` by their measured size, and
+    its index is sent to each slice: a task holds one slice, however many documents there are.
     """
-    slices = 16
 
     def pack(batches):
         for batch in batches:
-            rows = {k: [] for k in ("shard", "slice", "doc_id", "th", "at", "keys")}
+            rows = {k: [] for k in ("shard", "doc_id", "th", "at", "keys")}
             for doc_id, th, text in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), tk.text_bytes(batch["text"])):
                 _, at, h = line_keys(text, min_chars)
                 shard = h[:, 0].view(np.int64) % shards
                 for s in np.unique(shard):
                     own = shard == s
-                    for k, v in zip(rows, (int(s), th % slices, doc_id, th, at[own].tolist(), h[own].tobytes())):
+                    for k, v in zip(rows, (int(s), doc_id, th, at[own].tolist(), h[own].tobytes())):
                         rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("shard", pa.int32()), ("slice", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.list_(pa.int32())), ("keys", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.list_(pa.int32())), ("keys", pa.binary())]))
 
     def probe(key, left: pa.Table, right: pa.Table) -> pa.Table:
         index = pickle.loads(right["index"][0].as_py()) if right.num_rows else None
@@ -205,8 +205,11 @@ def _marked_by_shuffle(own: DataFrame, index: DataFrame, min_chars: int, shards:
             out.append(np.array(at)[_drops(index, h[:, 0], h[:, 1], doc_id)].tolist() if index else [])
         return pa.table({"doc_id": left["doc_id"], "th": left["th"], "drop": pa.array(out, pa.list_(pa.int32()))})
 
-    asked = own.mapInArrow(pack, "shard int, slice int, doc_id long, th long, at array<int>, keys binary")
-    spread = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    asked = stage(own.mapInArrow(pack, "shard int, doc_id long, th long, at array<int>, keys binary"), "op4-asked")
+    sizes = asked.groupBy("shard").agg(F.sum(F.length("keys")).alias("size"))
+    slices = stage(sizes.select("shard", F.ceil(F.col("size") / slice_bytes).cast("int").alias("slices")), "op4-slices")
+    asked = asked.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("doc_id", "th"), "slices").cast("int"))
+    spread = index.join(slices, "shard").select("shard", "index", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     back = asked.groupBy("shard", "slice").cogroup(spread.groupBy("shard", "slice")).applyInArrow(probe, "doc_id long, th long, drop array<int>")
     per_doc = back.filter(F.size("drop") > 0).dropDuplicates().groupBy("doc_id", "th").agg(F.flatten(F.collect_list("drop")).alias("drop"))
     return own.join(per_doc, same_row(own, per_doc), "left").select(*(own[c] for c in own.columns), "drop")
@@ -244,12 +247,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
-  FROM documents
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM rows
 ), keyed AS (
-  SELECT doc_id, n, line,
+  SELECT r, doc_id, n, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines
@@ -257,10 +260,10 @@ WITH lines AS (
   SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= {MIN_CHARS}
   GROUP BY k HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
 ), marked AS (
-  SELECT d.doc_id, d.n, d.line, (o.k IS NOT NULL AND d.doc_id <> o.keeper) AS gone
+  SELECT d.r, d.doc_id, d.n, d.line, (o.k IS NOT NULL AND d.doc_id IS DISTINCT FROM o.keeper) AS gone
   FROM keyed d LEFT JOIN often o ON d.k = o.k
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY n), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """

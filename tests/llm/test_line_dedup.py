@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 
 from factloom.llm import line_dedup as ld
 from factloom.llm.textkit import U
@@ -12,12 +14,12 @@ DOCS = "doc_id long, text string, th string, drop long"
 
 def brute(rows, chars, docs):
     key = lambda x: x.strip(ld.BLANK).lower()
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for i, t in rows:
         for k in {key(x) for x in (t or "").encode().split(b"\n")}:
             if len(k.decode()) >= chars:
-                holders[k].append(i)
-    last = {k: max((x for x in v if x is not None), default=None) for k, v in holders.items() if len(v) >= docs}
+                holders[k].add(i)
+    last = {k: max(v - {None}) for k, v in holders.items() if len(v - {None}) >= docs}
     for i, t in rows:
         lines = (t or "").encode().split(b"\n")
         kept = [x for x in lines if key(x) not in last or last[key(x)] == i]
@@ -48,3 +50,18 @@ def test_perfect_hash():
 
 def test_empty_table(spark):
     assert ld.line_dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_documents_are_ids_in_query_and_sql(spark):
+    line, other = "a line that is long enough to be counted here", "another line that is long enough to count at all"
+    rows = [(1, line), (1, line), (2, line), (3, line), (4, line + "\nx")] + [(i, other) for i in (1, 2, 3, 4, 5, 5, None)]
+    pdf = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    db = duckdb.connect()
+    db.register("documents", pdf)
+    want = sorted(db.sql(ld.SQL).fetchall(), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (1 << 20, 0):
+        got = ld.line_dedup(docs, broadcast_bytes=bound).drop("th", "kept", "row").collect()
+        assert sorted(map(tuple, got), key=str) == want
+    # Five rows of four ids do not reach five documents; the other line does, without the null id.
+    assert sum(x[2] for x in want) == 5
