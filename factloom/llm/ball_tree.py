@@ -7,16 +7,22 @@ the queries whose upper bound ``q.c + |q| r`` reaches it. Work and traffic are t
 stated query set against all rows in blocks; nothing is broadcast or collected.
 
 Scores are exact: products are of integers, in float32 or float64 while they stay below 2**24
-or 2**53 and in int64 beyond.
+or 2**53, in int64 below 2**63 and in Python's integers beyond; a score that no long can hold
+is the nearest long, and such scores tie.
 
-Rows: vectors that are null, empty or hold a null or non-finite component take no part, nor
-do rows without id. A row that repeats (same id, same vector) counts once; rows of the
+Shards grow with the table (``shard_size``), so that a block's traffic, its queries once to
+every shard, stays small against the products. Vectors travel in the least integer type that
+holds them.
+
+Rows: vectors that are null, empty or hold a null or non-finite component take no part (nor do
+those of which a component is too large to be scaled), nor do rows without id. A row that repeats (same id, same vector) counts once; rows of the
 query's own id are not its candidates. Only vectors of the query's length are compared.
 Ties go to the smaller id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
 
 import numpy as np
@@ -31,6 +37,8 @@ K = 20
 SCALE = 64
 QUERY_STEP = 20
 SHARD_ROWS = 8192
+SHARD_MOST = 1 << 17
+SHARDS = 256
 LEAF = 256
 SHARDS_PER_BLOCK = 4
 
@@ -47,7 +55,8 @@ class BallTree:
         own = v[self.order[lo:hi]].astype(np.float64)
         centre = own.mean(axis=0)
         # Widened a little, so that rounding never cuts off a point on the rim.
-        radius = np.sqrt(((own - centre) ** 2).sum(axis=1).max()) * (1 + 1e-9) + 1e-9
+        with np.errstate(over="ignore"):
+            radius = np.sqrt(((own - centre) ** 2).sum(axis=1).max()) * (1 + 1e-9) + 1e-9
         at = len(self.nodes)
         self.nodes.append([lo, hi, centre, radius, -1, -1])
         if hi - lo > self.leaf and radius > 1e-6:
@@ -60,46 +69,62 @@ class BallTree:
 
 
 def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, as int64."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+    """Exact integer inner products, as int64 (what lies beyond is the nearest int64)."""
+    most = lambda x: max(float(x.max(initial=0)), -float(x.min(initial=0)))
+    top = most(q) * most(v) * q.shape[1]
     if top < 2**53:
         kind = np.float32 if top < 2**24 else np.float64
         return (q.astype(kind) @ v.astype(kind).T).astype(np.int64)
-    return q @ v.T
+    if top < 2**62:
+        return q.astype(np.int64) @ v.astype(np.int64).T
+    whole = lambda x: np.array([[int(y) for y in row] for row in x.tolist()], object)
+    exact = whole(q) @ whole(v).T
+    return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
 def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
     """(query position, id, score) of all that may be in a query's top k, given that k
-    candidates elsewhere reach ``floor``; ``floor`` is raised in place."""
-    best = np.full((len(q), k), np.iinfo(np.int64).min)
-    norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+    candidates elsewhere reach ``floor``; ``floor`` is raised in place.
+
+    Nodes are taken in order of their upper bound (the greatest over the block's queries), each
+    by the queries whose own bound still reaches their k-th score.
+    """
+    none = np.iinfo(np.int64).min
+    best = np.full((len(q), k), none)
+    wide = q.astype(np.float64)
+    with np.errstate(over="ignore"):
+        norm = np.sqrt((wide**2).sum(axis=1))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def bound(node: int, active: np.ndarray) -> np.ndarray:
         _, _, centre, radius, _, _ = tree.nodes[node]
-        reach = q[active] @ centre + norm[active] * radius
-        return reach + np.abs(reach) * 1e-9 + 1e-6
-
-    def visit(node: int, active: np.ndarray) -> None:
-        lo, hi, _, _, left, right = tree.nodes[node]
-        active = active[bound(node, active) >= floor[active]]
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = wide[active] @ centre + norm[active] * radius
+        # A sum too large for a float bounds nothing.
+        return np.where(np.isfinite(reach), reach + np.abs(reach) * 1e-9 + 1e-6, np.inf)
+
+    every = np.arange(len(q))
+    heap = [(0.0, 0, every, np.full(len(q), np.inf))]
+    while heap:
+        _, node, active, reach = heapq.heappop(heap)
+        active = active[reach >= floor[active]]
         if not len(active):
-            return
+            continue
+        lo, hi, _, _, left, right = tree.nodes[node]
         if left >= 0:
-            for child in sorted((left, right), key=lambda x: -bound(x, active).mean()):
-                visit(child, active)
-            return
+            for child in (left, right):
+                reach = bound(child, active)
+                heapq.heappush(heap, (-reach.max(), child, active, reach))
+            continue
         step = max(1, (1 << 22) // max(1, hi - lo))
         for part in (active[i : i + step] for i in range(0, len(active), step)):
             got = scores(q[part], tree.vectors[lo:hi])
-            got[ids[part][:, None] == tree.ids[lo:hi][None, :]] = np.iinfo(np.int64).min
+            got[ids[part][:, None] == tree.ids[lo:hi][None, :]] = none
             both = np.concatenate([best[part], got], axis=1)
             best[part] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
             floor[part] = np.maximum(floor[part], best[part].min(axis=1))
-            row, col = np.nonzero((got >= floor[part][:, None]) & (got > np.iinfo(np.int64).min))
+            row, col = np.nonzero((got >= floor[part][:, None]) & (got > none))
             found.append((part[row], tree.ids[lo:hi][col], got[row, col]))
-
-    visit(0, np.arange(len(q)))
     if not found:
         return (np.zeros(0, np.int64),) * 3
     row, cand, score = (np.concatenate(x) for x in zip(*found))
@@ -113,14 +138,16 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k:
 
 
 def integer_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
-    """vec_id, dim, v (array<long>, floor(scale * x)): the vectors that take part."""
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    """vec_id, dim, v (array<double> of the integers floor(scale * x)): the vectors that take part."""
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) == float("inf")))
+    # floor() gives a long, and a double from 2**53 on is whole already.
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     return (
         embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
         .filter(usable)
         .filter(~bad)
-        .select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+        .select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: whole(x.cast("double") * scale)).alias("v"))
         .dropDuplicates(["vec_id", "dim", "v"])
     )
 
@@ -132,7 +159,21 @@ def _pack(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
     v = flat.flatten().to_numpy().reshape(len(ids), -1)
     order = np.lexsort((*v.T[:1], ids))
-    return ids[order], v[order]
+    return ids[order], least_type(v[order])
+
+
+def least_type(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the least integer type that holds them; as floats from 2**53 on."""
+    top = float(np.abs(v).max(initial=0))
+    for kind, most in ((np.int16, 2**15), (np.int32, 2**31), (np.int64, 2**53)):
+        if top < most:
+            return v.astype(kind)
+    return v
+
+
+def shard_size(rows: int) -> int:
+    """Rows of a shard: the table in about ``SHARDS`` of them, within bounds of memory."""
+    return min(SHARD_MOST, max(SHARD_ROWS, rows // SHARDS))
 
 
 def _tree(group: pa.Table) -> pa.Table:
@@ -169,10 +210,11 @@ def _search_rows(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("dim", "block", "tree", "queries").mapInArrow(run, "dim int, block int, query_id long, vec_id long, score long, queries binary")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int | None = None) -> DataFrame:
     """vectors (vec_id, dim, v) -> query_id, rank, vec_id, score for rows where ``is_query``."""
     vectors = stage(vectors, "op2-vectors")
-    shards = parts_for(vectors.count(), shard_rows)
+    rows = vectors.count()
+    shards = parts_for(rows, shard_rows or shard_size(rows))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     trees = stage(dealt.groupBy("dim", "shard").applyInArrow(_tree, "dim int, shard int, tree binary"), "op2-trees")
     asked = dealt.filter(is_query).withColumn("block", F.floor(F.col("shard") / SHARDS_PER_BLOCK).cast("int"))

@@ -32,5 +32,17 @@ def test_large_products_stay_exact():
     assert bt.scores(q, q).tolist() == [[2**60 + 9]]
 
 
+def test_huge_components(spark):
+    """Products beyond a long: exact order as far as a long goes, then ties by id."""
+    rows = [(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [1e300, 0.0]), (3, [-1e300, 0.0]), (4, [3e9, 5.0]), (5, [2.0, 1e8]), (6, [1.7e308, 1.0]), (7, [0.5, -0.01])]
+    got = bt.top_k(bt.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 64), F.lit(True), k=4, shard_rows=3).collect()
+    vs = {i: [int(np.floor(64 * x)) if abs(64 * x) < 2**53 else int(64 * x) for x in v] for i, v in rows if i != 6}
+    want = set()
+    for q in vs:
+        s = sorted((-min(max(sum(a * b for a, b in zip(vs[q], vs[c])), -(2**63) + 1), 2**63 - 1), c) for c in vs if c != q)
+        want |= {(q, k + 1, c, -x) for k, (x, c) in enumerate(s[:4])}
+    assert {tuple(x) for x in got} == want
+
+
 def test_empty_table(spark):
     assert bt.top_k(bt.integer_vectors(spark.createDataFrame([], SCHEMA), 64), F.col("vec_id") % 5 == 0).count() == 0
