@@ -5,7 +5,11 @@ templates (a fixed table of a few hundred rows, broadcast). A hit votes for the
 ``word position - template position``. Votes are a bit set of template positions, so
 repeated hits count once. A diagonal with all positions is the template word for word
 (hits compare the words, not hashes alone). Neighbouring diagonals (an inserted or missing
-word) merge, and a merged span that covers enough of a longer template gives its label too.
+word) merge. A merged span is verified before it counts: template positions are taken in
+order, each at its first place in the text, and only places behind all earlier ones count, so
+words out of order do not; the stretch may have twice the template's words at most. What no
+merged span shows, its best diagonal alone may. A span (or diagonal) that covers enough of a
+longer template gives its label too.
 
 Each text adds one sentinel pair that joins a sentinel template. It carries the text's word
 count and number of rows through the join, so the texts are read once and never shuffled.
@@ -44,6 +48,11 @@ SENTENCES = {
     "licensed under a creative commons attribution": "cc-by",
     "licensed under cc by 4 0": "cc-by",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache",
+    "you should have received a copy of the gnu general public license along with this program if not see": "gpl",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "gpl",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 COVER = 0.7
@@ -73,6 +82,22 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), GAP, -1), "")
 
 
+def verified(diagonals: Column, pairs: Column) -> Column:
+    """Template positions of a merged span that stand in the text in the template's order."""
+    voted = lambda p: F.filter(diagonals, lambda x: x["votes"].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p)) != 0)
+    place = lambda p: F.array_min(F.transform(voted(p), lambda x: x["diagonal"] + p))
+    places = F.transform(F.sequence(F.lit(0), pairs - 1), place)
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("n"), none.alias("first"), none.alias("last"))
+
+    def step(acc: Column, at: Column) -> Column:
+        later = at.isNotNull() & (acc["last"].isNull() | (at > acc["last"]))
+        return F.when(later, F.struct((acc["n"] + 1).alias("n"), F.coalesce(acc["first"], at).alias("first"), at.alias("last"))).otherwise(acc)
+
+    chain = F.aggregate(places, start, step, lambda acc: F.when(acc["last"] - acc["first"] < 2 * pairs, acc["n"]).otherwise(0))
+    return F.greatest(chain, F.array_max(F.transform(diagonals, lambda x: F.bit_count(x["votes"]))))
+
+
 def license_scan(docs: DataFrame, cover: float = COVER) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, spans (label, first word, coverage of the merged spans)."""
@@ -94,11 +119,13 @@ def license_scan(docs: DataFrame, cover: float = COVER) -> DataFrame:
     merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(near))
     exact = F.col("base") & (F.bit_count("votes") == F.col("pairs"))
     spans = merged.groupBy(*who, "tpl", "label", "base", "pairs", "span").agg(
-        F.bit_or("votes").alias("votes"), F.min("diagonal").alias("first"), F.sum("rows").alias("rows"), F.sum(exact.cast("long")).alias("places"), F.min(F.when(exact, F.col("diagonal"))).alias("lo"), F.max(F.when(exact, F.col("diagonal"))).alias("hi")
+        F.collect_list(F.struct("diagonal", "votes")).alias("diagonals"), F.min("diagonal").alias("first"), F.sum("rows").alias("rows"), F.sum(exact.cast("long")).alias("places"), F.min(F.when(exact, F.col("diagonal"))).alias("lo"), F.max(F.when(exact, F.col("diagonal"))).alias("hi")
     )
-    covered = F.bit_count("votes") / F.col("pairs")
+    covered = F.when(F.col("tpl") >= 0, verified(F.col("diagonals"), F.col("pairs")) / F.col("pairs"))
+    spans = spans.withColumn("covered", covered)
+    covered = F.col("covered")
     # Parts of a phrase of two or three words say nothing; longer templates may miss some words.
-    counts = (F.col("tpl") >= 0) & ((F.col("places") > 0) | ((F.col("pairs") >= 4) & (covered >= cover)) | (~F.col("base") & (F.bit_count("votes") == F.col("pairs"))))
+    counts = (F.col("tpl") >= 0) & ((F.col("places") > 0) | ((F.col("pairs") >= 4) & (covered >= cover)) | (~F.col("base") & (covered == 1)))
     out = spans.groupBy(*who).agg(
         F.coalesce(F.sum(F.when(F.col("tpl") == -1, F.col("rows"))), F.lit(0)).alias("copies"),
         F.sum("places").alias("n_base"),
@@ -136,10 +163,18 @@ docs AS (
   SELECT *, sum(apart) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) AS span,
          base AND bit_count(votes) = pairs AS exact
   FROM steps
+), spots AS (
+  SELECT doc_id, tpl, span, pairs, p, min(diagonal + p) AS spot
+  FROM (SELECT *, unnest(range(pairs)) AS p FROM numbered) WHERE votes & (1::BIGINT << p) <> 0 GROUP BY ALL
+), ordered AS (
+  SELECT *, coalesce(spot > max(spot) OVER (PARTITION BY doc_id, tpl, span ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS later FROM spots
+), chains AS (
+  SELECT doc_id, tpl, span, CASE WHEN max(spot) FILTER (later) - min(spot) FILTER (later) < 2 * any_value(pairs) THEN count(*) FILTER (later) ELSE 0 END AS n
+  FROM ordered GROUP BY ALL
 ), spans AS (
-  SELECT doc_id, tpl, label, base, pairs, span, bit_count(bit_or(votes)) AS n,
+  SELECT s.doc_id, s.tpl, label, base, pairs, span, greatest(any_value(n), max(bit_count(votes))) AS n,
          count(*) FILTER (exact) AS places, min(diagonal) FILTER (exact) AS lo, max(diagonal) FILTER (exact) AS hi
-  FROM numbered GROUP BY ALL
+  FROM numbered s JOIN chains USING (doc_id, tpl, span) GROUP BY ALL
 ), judged AS (
   SELECT *, places > 0 OR (pairs >= 4 AND n / pairs >= {COVER}) OR (NOT base AND n = pairs) AS counts FROM spans
 )

@@ -1,6 +1,9 @@
 import random
 import re
 
+import duckdb
+import pandas as pd
+
 from factloom.llm import license_scan as ls
 
 DOCS = "doc_id long, text string, label string, at long"
@@ -49,3 +52,27 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert ls.license_scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_verified_spans_as_in_sql(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = r.choice(list(ls.SENTENCES)).split() + r.choice(list(ls.SENTENCES)).split()
+        for _ in range(r.randint(0, 6)):
+            k = r.randrange(len(words))
+            words[k : k + 1] = r.choice([[], ["x"], [words[k], words[k]], [words[k - 1], words[k]]])
+        rows.append((i, " ".join(words)))
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = ls.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).drop("spans")
+    want = db.sql(f"SELECT {', '.join(got.columns)} FROM ({ls.SQL})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert any(0 < x[-1] < 1 for x in want) and sum(x[-2] != "" for x in want) > 300
+
+
+def test_words_out_of_order_are_no_license(spark):
+    sentence = "this is free and unencumbered software released into the public domain".split()
+    # All word pairs stand in the text, each on a diagonal next to the one before, backwards.
+    text = " x ".join(" ".join(sentence[i : i + 2]) for i in reversed(range(len(sentence) - 1)))
+    assert ls.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == ""
