@@ -12,16 +12,19 @@
    so are candidates of which less than half the weight lies on the item's words.
 4. That search is approximate. What it passes over is found by what every match must share
    with its item: enough of the item's rarest words within one stretch (``_index`` has the
-   bound, which follows from ``COVER``), or its answer word for word. No match is outside
-   the bound, so the answer does not depend on ``RANK`` or the windows.
-5. Candidates are checked on the words. For some stretch of half again the item's length the
-   longest common subsequence must cover ``COVER`` of the item, or ``PARAPHRASE`` of it if
-   the item's answer (its last sentence, of three words or more) stands as it is in the
-   stretch or within half an item's length of it. All stretches are judged; those that
-   cannot reach it by their count of words are passed over.
+   bound, which follows from ``PARAPHRASE``), or its answer word for word. No match is outside
+   the bound, so the answer does not depend on the windows.
+5. Candidates are checked on the words: for some stretch of half again the item's length the
+   longest common subsequence must cover ``COVER`` of the item. A paraphrase may cover
+   ``PARAPHRASE`` of it if the stretch is still ``ALIKE`` the item in latent space (for items
+   of which ``VARIED`` of the words differ from each other), or if the item's answer (its last sentence, of three words or more) stands as it is in the stretch or
+   within half an item's length of it. All stretches are judged; those that cannot reach it by
+   their count of words are passed over.
 
-The benchmark is taken in blocks of ``ITEMS`` items, so what is broadcast is bounded; the
-documents are read once a block (one block for usual benchmarks) and never shuffled.
+Every document is searched for itself: its neighbours in a batch change nothing.
+
+The benchmark is taken in blocks of ``ITEMS`` items and ``BYTES`` bytes, so what is broadcast
+is bounded; the documents are read once a block (one block for usual benchmarks) and never shuffled.
 
 Rows: null, empty and wordless texts and items match nothing; items shorter than
 ``SHORTEST`` words must match word for word; repeated rows are reported once each; ids may be
@@ -43,12 +46,16 @@ HASHED = 1 << 16
 RANK = 48
 POWER = 2
 ITEMS = 4000
+#: Bytes of items that are broadcast at once, about.
+BYTES = 4 << 20
 LENGTHS = (8, 12, 18, 27, 40, 60, 90)
 SHARE = 0.6
 MEMBERS = 0.5
 COSINE = 0.5
 COVER = 0.8
 PARAPHRASE = 0.6
+ALIKE = 0.35
+VARIED = 0.6
 SHORTEST = 8
 SEED = 5
 #: least_hits is a HITS-th of the words a match needs; hits held at a time.
@@ -203,14 +210,18 @@ class Retriever:
         self.ids, self.words = ids, [h.tolist() for h in hashes]
         self.answers = [_words([answer_of(t)]).hash.tolist() for t in texts]
         self.vocab, self.idf, self.vectors, self.df, self.docs = vocab, idf, vectors, df, docs
-        full = _matrix(hashes, vocab, idf)
-        latent = full @ vectors
+        latent, norm = np.zeros((len(hashes), vectors.shape[1]), np.float32), np.zeros(len(hashes))
+        for i, h in enumerate(hashes):
+            at, n = np.unique(np.searchsorted(vocab, h), return_counts=True)
+            latent[i], norm[i] = (n * idf[at]) @ vectors[at], np.sqrt(((n * idf[at]) ** 2).sum())
         self.size = np.array([len(h) for h in hashes])
         self.own = np.unique(np.concatenate([i * len(vocab) + np.searchsorted(vocab, h) for i, h in enumerate(hashes)])) if len(vocab) else np.zeros(0, np.int64)
         # An item's cosine with its own projection; a copy of it reaches as much and no more.
-        self.kept = np.maximum(np.linalg.norm(latent, axis=1), 1e-12) / np.maximum(np.linalg.norm(full, axis=1), 1e-12)
+        self.kept = np.maximum(np.linalg.norm(latent, axis=1), 1e-12) / np.maximum(norm, 1e-12)
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         self.reach = self.size + self.size // 2
+        # Where words repeat, a common subsequence is soon long and says little.
+        self.varied = [len(np.unique(h)) >= VARIED * len(h) for h in hashes]
         self.bags = [np.unique(h, return_counts=True) for h in hashes]
         self.masks: dict[int, dict] = {}
         self._index(hashes)
@@ -218,7 +229,7 @@ class Retriever:
     def _index(self, hashes: list[np.ndarray]) -> None:
         """What any match must share with its item, on the item's rarest words.
 
-        ``COVER`` of n words leaves out at most n - k of them. So of any n - k + m words of
+        ``PARAPHRASE`` of n words leaves out at most n - k of them. So of any n - k + m words of
         the item at least m stand in the stretch; the rarest are taken, m is ``least_hits``.
         Short items and answers stand word for word: they are found at their rarest word.
         """
@@ -232,7 +243,7 @@ class Retriever:
             if n < SHORTEST:
                 phrases.append((i, h))
                 continue
-            k = least(COVER, n)
+            k = least(PARAPHRASE, n)
             self.least_hits[i] = m = max(1, k // HITS)
             rare = at[np.argsort(-self.idf[at], kind="stable")][: n - k + m]
             pairs.append(i * len(self.vocab) + np.unique(rare))
@@ -333,6 +344,23 @@ class Retriever:
         x = (self.vectors[at] * np.where(known, weight, 0)[:, None]).sum(axis=0)
         return float(min(1.0, x @ self.latent[item] / (max(np.sqrt((weight**2).sum()), 1e-12) * self.kept[item])))
 
+    def match(self, w: tk.Words, doc: int, item: int, ranges: list[tuple[int, int]]) -> tuple[int, int, int]:
+        """(words of the item in order, start, end) of the narrowest part of the best stretch
+        that begins in the ranges; zeros if none has ``PARAPHRASE`` of the item."""
+        size, reach, best = int(self.size[item]), int(self.reach[item]), (0, 0)
+        for lo, hi in _merged(ranges):
+            k, s = self.best(item, w.hash[lo : min(hi + reach, w.first[doc + 1])], hi - lo + 1, max(least(PARAPHRASE, size), best[0] + 1))
+            if k:
+                best = (k, lo + s)
+            if k == size:
+                break
+        if not best[0]:
+            return 0, 0, 0
+        k, s = best
+        stretch = w.hash[s : min(s + reach, w.first[doc + 1])].tolist()
+        e = s + lcs_end(self.words[item], stretch)
+        return k, e - lcs_end(self.words[item][::-1], stretch[: e - s][::-1]), e
+
     def windows(self, w: tk.Words, known: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[start, end) in words of the windows that may be copies."""
         mass = np.concatenate([[0], np.cumsum(weight**2)])
@@ -340,8 +368,8 @@ class Retriever:
         starts, ends = [], []
         last = w.first[w.doc + 1]
         for length in LENGTHS:
-            s = np.arange(0, len(w), max(1, length // 4))
-            s = np.union1d(s, w.first[:-1][np.diff(w.first) > 0])
+            # From each document's first word on, so that its neighbours change nothing.
+            s = np.flatnonzero((np.arange(len(w)) - w.first[w.doc]) % max(1, length // 4) == 0)
             e = np.minimum(s + length, last[s])
             ok = own[e] - own[s] >= SHARE * (mass[e] - mass[s])
             starts.append(s[ok])
@@ -371,11 +399,12 @@ class Retriever:
         known = self.vocab[at] == w.hash
         every = known.copy()
         for k in range(1, 9):  # a word said over and over speaks for no item
-            known[k:] &= w.hash[k:] != w.hash[:-k]
+            known[k:] &= (w.hash[k:] != w.hash[:-k]) | (w.doc[k:] != w.doc[:-k])
         weight = weights(w.hash, self.df, self.docs)
         start, end = self.windows(w, known, weight)
-        # (text, item): [first start, last start, least words] where a match may begin
-        hits: dict[tuple[int, int], list] = {}
+        # (text, item): ranges of starts where a match may begin, anywhere and near the answer
+        hits: dict[tuple[int, int], tuple[list, list]] = {}
+        spots = lambda doc, item: hits.setdefault((doc, item), ([], []))
         for lo in range(0, len(start), 2048):
             s, e = start[lo : lo + 2048], end[lo : lo + 2048]
             n = e - s
@@ -389,9 +418,9 @@ class Retriever:
             near = self.members(a, b, s, n, at, np.where(known, weight**2, 0)) >= MEMBERS * norm[a] ** 2
             for a, b in zip(a[near], b[near]):
                 if self.size[b] >= SHORTEST:
-                    hits.setdefault((int(w.doc[s[a]]), int(b)), []).append((max(int(e[a] - self.reach[b]), int(w.first[w.doc[s[a]]])), int(s[a]), least(COVER, int(self.size[b]))))
+                    spots(int(w.doc[s[a]]), int(b))[0].append((max(int(e[a] - self.reach[b]), int(w.first[w.doc[s[a]]])), int(s[a])))
         for b, s, e in self.stretches(w, at, every):
-            hits.setdefault((int(w.doc[s]), b), []).append((s, e, least(COVER, int(self.size[b]))))
+            spots(int(w.doc[s]), b)[0].append((s, e))
         whole: dict[tuple[int, int], tuple[int, int]] = {}
         for b, s, n in zip(*(x.tolist() for x in self.phrases(w, at, every))):
             doc, size = int(w.doc[s]), int(self.size[b])
@@ -399,33 +428,27 @@ class Retriever:
                 whole.setdefault((doc, b), (s, s + n))
             else:
                 lo, hi = s + n - int(self.reach[b]) - size // 2, s + size // 2
-                hits.setdefault((doc, b), []).append((max(lo, int(w.first[doc])), min(hi, int(w.first[doc + 1]) - 1), least(PARAPHRASE, size)))
+                spots(doc, b)[1].append((max(lo, int(w.first[doc])), min(hi, int(w.first[doc + 1]) - 1)))
         out = [(doc, self.ids[item], self.cosine(item, at[s:e], every[s:e], weight[s:e]), 1.0, int(s - w.first[doc])) for (doc, item), (s, e) in whole.items()]
-        for (doc, item), spots in hits.items():
-            size, best = int(self.size[item]), (0, 0)
-            for lo, hi, need in _merged(spots):
-                k, s = self.best(item, w.hash[lo : min(hi + int(self.reach[item]), w.first[doc + 1])], hi - lo + 1, max(need, best[0] + 1))
-                if k:
-                    best = (k, lo + s)
-                if k == size:
+        for (doc, item), (anywhere, answered) in hits.items():
+            size = int(self.size[item])
+            for ranges in (anywhere, answered):
+                k, s, e = self.match(w, doc, item, ranges)
+                cosine = self.cosine(item, at[s:e], every[s:e], weight[s:e]) if k else 0.0
+                if k and (ranges is answered or k >= least(COVER, size) or (self.varied[item] and cosine >= ALIKE)):
+                    out.append((doc, self.ids[item], cosine, k / size, int(s - w.first[doc])))
                     break
-            if best[0]:
-                s = best[1]
-                stretch = w.hash[s : min(s + int(self.reach[item]), w.first[doc + 1])].tolist()
-                e = s + lcs_end(self.words[item], stretch)
-                s = e - lcs_end(self.words[item][::-1], stretch[: e - s][::-1])
-                out.append((doc, self.ids[item], self.cosine(item, at[s:e], every[s:e], weight[s:e]), best[0] / size, int(s - w.first[doc])))
         return sorted(out, key=lambda x: (x[0], x[4]))
 
 
-def _merged(spots: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Ranges of starts of the same need, overlapping ones made one."""
-    out: list[tuple[int, int, int]] = []
-    for lo, hi, need in sorted(spots, key=lambda x: (-x[2], x[0])):
-        if out and out[-1][2] == need and lo <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], hi), need)
+def _merged(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of starts, overlapping ones made one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spots):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
         else:
-            out.append((lo, hi, need))
+            out.append((lo, hi))
     return out
 
 
@@ -433,10 +456,12 @@ def retrievers(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS
     """One ``Retriever`` for each block of the benchmark, as broadcast variables."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates()
-    blocks = -(-items.count() // items_at_once)
-    if not blocks:
+    items = stage(items, "op6-items")
+    count, size = items.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    if not count:
         return
-    items = stage(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "op6-items")
+    blocks = max(-(-count // items_at_once), -(-size // BYTES))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     df, n = document_frequencies(docs)
     for k in range(blocks):
         some = items.filter(F.col("block") == k)
