@@ -4,18 +4,26 @@ Two documents link when ``100 * |A n B| >= percent * |A u B|`` for their sets of
 shingles. All sets are put in one order of tokens. If a set of size n links with another,
 they share at least ceil(t n) tokens, so their prefixes of n - ceil(t n) + l tokens share l.
 
-1. Frequent tokens. Tasks count tokens that repeat inside their own documents; the sums give
-   a table of frequent tokens (at most ``FREQUENT_MAX``, the most frequent first), which is
-   broadcast: its size is bounded. It serves as order (rare first, frequent last by count)
+1. Token frequencies. Tasks count tokens that repeat inside their own documents; the sums give
+   a table of the more frequent ones (at most ``COUNTED_MAX``, the most frequent first), which
+   is broadcast: its size is bounded. It serves as order (rare first, frequent last by count)
    and as cost estimate. Any order is exact; a token the table misses only costs time.
-2. Prefixes. Each document takes the l from 1 to ``MATCHES`` that makes
-   ``tokens sent + expected candidates / l`` least, so that a document with costly tokens
-   sends a longer prefix and asks for l shared tokens before verification.
-3. Documents whose prefix needs frequent tokens (almost all of their text is frequent: large
-   groups of near copies) are "full". Among themselves they are compared in blocks of
-   bounded size and neighbouring size classes, by a product of 0/1 matrices, and only a
-   spanning forest of the links is returned. With all others they share a rare prefix token.
-4. Candidate pairs are counted; count and prefix lengths bound the possible overlap; what is
+2. Prefixes. Each document takes the l from 1 to ``MATCHES`` that makes its estimated cost
+   least: the tokens it sends, the pairs that they bring (their frequencies summed over the
+   prefix), and the verification of those pairs that are expected to share l of them. A prefix
+   whose further tokens are rare grows and asks for more shared tokens; where the next tokens
+   are frequent it stays short.
+3. Pairs. Documents meet by token. A token of more than ``HOT`` documents that the table missed
+   is dealt anew: its documents go into buckets of at most ``HOT``, and pairs of buckets to
+   tasks of their own.
+4. Documents whose prefix needs frequent tokens (almost all of their text is frequent: large
+   groups of near copies) are "full". They are compared among themselves by products of 0/1
+   matrices over blocks of bounded size, in neighbouring size classes, and only a spanning
+   forest of the links is returned (``_full_links``): first within blocks, then one document of
+   each group found so far with one of each other, then, of what is still apart, blocks of
+   different groups. A group of near copies, however large, is compared with others only.
+   With all other documents full ones share a rare prefix token.
+5. Candidate pairs are counted; count and prefix lengths bound the possible overlap; what is
    left is verified on the whole sets: first each document with its least candidate, then
    the pairs that are not yet in one component.
 
@@ -43,9 +51,16 @@ from factloom.llm.textkit import U
 SHINGLE = 4
 PERCENT = 85
 FREQUENT = 48
-FREQUENT_MAX = 1 << 20
+#: Tokens of more documents than this are in the table, at most so many of them.
+COUNTED = 4
+COUNTED_MAX = 1 << 20
 MATCHES = 4
 BLOCK = 256
+HOT = 512
+PAIRS_PER_TASK = 8 << 20
+#: In units of a token sent: other documents expected for a token that is not in the table, and
+#: the cost of verifying a pair.
+UNSEEN, VERIFY = 0.25, 8
 
 
 def token_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -93,13 +108,13 @@ def frequent_tokens(own: DataFrame, n: int, above: int) -> tuple[np.ndarray, np.
             yield flush()
 
     often = own.mapInArrow(count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).filter(F.col("n") > above)
-    rows = often.orderBy(F.desc("n"), "tok").limit(FREQUENT_MAX).toArrow()
+    rows = often.orderBy(F.desc("n"), "tok").limit(COUNTED_MAX).toArrow()
     tokens, counts = rows["tok"].to_numpy().view(U), rows["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], counts[order]
 
 
-def prefix_of(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int, bool]:
+def prefix_of(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray], percent: int, frequent: int = FREQUENT) -> tuple[np.ndarray, int, bool]:
     """The tokens a set sends, the matches it asks for, and whether it is full."""
     often, counts = table
     df = np.ones(len(tokens), np.int64)
@@ -110,28 +125,29 @@ def prefix_of(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray], percent:
     order = np.lexsort((tokens, df))
     tokens, df = tokens[order], df[order]
     base = len(tokens) - least_shared(len(tokens), percent) + 1
-    if df[base - 1] > 1:  # its prefix holds a token of the table
-        return tokens[:base][df[:base] == 1], 1, True
+    if df[base - 1] > frequent:
+        return tokens[:base][df[:base] <= frequent], 1, True
+    # Documents that each token brings along, summed over the prefix.
+    others = np.cumsum(np.where(df > 1, df - 1, UNSEEN))
     best, cost = 1, None
     for l in range(1, MATCHES + 1):
         p = base + l - 1
-        if p > len(tokens) or df[p - 1] > 1:
+        if p > len(tokens) or df[p - 1] > frequent:
             break
-        # A rare token is expected in a few other sets at most; a share of them matches l times.
-        now = p + 4 * p / l**2
+        now = p + others[p - 1] * (1 + VERIFY / l**2)
         if cost is None or now < cost:
             best, cost = l, now
     return tokens[: base + best - 1], best, False
 
 
-def _sets(own: DataFrame, n: int, percent: int, often) -> DataFrame:
+def _sets(own: DataFrame, n: int, percent: int, often, frequent: int) -> DataFrame:
     sent = own.sparkSession.sparkContext.broadcast(often)
 
     def scan(batches):
         for batch in batches:
             out = {k: [] for k in ("n", "key", "asks", "full", "toks", "body")}
             for tokens in token_sets(tk.text_bytes(batch["text"]), n):
-                toks, asks, full = prefix_of(tokens, sent.value, percent) if len(tokens) else (tokens, 1, False)
+                toks, asks, full = prefix_of(tokens, sent.value, percent, frequent) if len(tokens) else (tokens, 1, False)
                 body = tokens.tobytes() if full else None
                 for k, v in zip(out, (len(tokens), set_key(tokens), asks, full, toks.view(np.int64), body)):
                     out[k].append(v)
@@ -141,36 +157,81 @@ def _sets(own: DataFrame, n: int, percent: int, often) -> DataFrame:
     return own.mapInArrow(scan, "doc_id long, th long, n int, key long, asks int, full boolean, toks array<long>, body binary")
 
 
-def _pairs(sets: DataFrame, parts: int, percent: int) -> DataFrame:
+PAIR = "a long, b long, na int, nb int, la int, lb int"
+MEMBER = ("tok", "key", "n", "asks", "full")
+
+
+def _meet(got: pa.Table, percent: int, group: np.ndarray, side: np.ndarray | None = None):
+    """All pairs a < b of different keys of a group that may link, in batches. With ``side``
+    only those of different sides."""
+    key, n, asks, full = (got[c].to_numpy() for c in MEMBER[1:])
+    order = np.lexsort((key, group))
+    group, key = group[order], key[order]
+    keep = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])[: len(key)]  # copies
+    order, group, key = order[keep], group[keep], key[keep]
+    n, asks, full = n[order], asks[order], full[order]
+    side = None if side is None else side[order]
+    last = np.searchsorted(group, group, side="right")
+    # Every member with the d-th after it, for d = 1, 2, ...
+    d, left = 1, np.arange(len(group))
+    while True:
+        left = left[left + d < last[left]]
+        if not len(left):
+            return
+        x, y = left, left + d
+        ok = (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y])) & ~(full[x] & full[y])
+        if side is not None:
+            ok &= side[x] != side[y]
+        x, y = x[ok], y[ok]
+        if len(x):
+            yield [key[x], key[y], n[x], n[y], asks[x], asks[y]]
+        d += 1
+
+
+def _pairs(sets: DataFrame, parts: int, percent: int, hot: int = HOT) -> DataFrame:
     """a < b: classes that share a rare prefix token, a row for each token they share."""
     rows = sets.filter("n > 0").select(F.explode("toks").alias("tok"), "key", "n", "asks", "full")
+    names = ["a", "b", "na", "nb", "la", "lb", *MEMBER]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 
     def meet(batches):
+        # A token that many documents hold is in the table, so a task's share stays even.
         got = list(batches)
         if not sum(b.num_rows for b in got):
             return
         got = pa.Table.from_batches(got)
-        tok, key, n, asks, full = (got[c].to_numpy() for c in ("tok", "key", "n", "asks", "full"))
-        order = np.lexsort((key, tok))
-        tok, key = tok[order], key[order]
-        keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])])  # copies
-        order, tok, key = order[keep], tok[keep], key[keep]
-        n, asks, full = n[order], asks[order], full[order]
-        last = np.searchsorted(tok, tok, side="right")
-        # Every member with the d-th after it, for d = 1, 2, ...: all pairs of a token's members.
-        d, left = 1, np.arange(len(tok))
-        while True:
-            left = left[left + d < last[left]]
-            if not len(left):
-                return
-            x, y = left, left + d
-            ok = (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y])) & ~(full[x] & full[y])
-            x, y = x[ok], y[ok]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[x], key[y], n[x], n[y], asks[x], asks[y])], names=["a", "b", "na", "nb", "la", "lb"])
-            d += 1
-
-    return rows.repartition(parts, "tok").mapInArrow(meet, "a long, b long, na int, nb int, la int, lb int")
+        tok = got["tok"].to_numpy()
+        uniq, at, members = np.unique(tok, return_inverse=True, return_counts=True)
+        many = members[at] > hot
+        for cols in _meet(got.filter(pa.array(~many)), percent, tok[~many]):
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(cols, kinds)), *(pa.nulls(len(cols[0]), t) for t in kinds[6:])], names=names)
+        if many.any():
+            for x in got.filter(pa.array(many)).to_batches():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(x.num_rows, t) for t in kinds[:6]), *(x[c].cast(t) for c, t in zip(MEMBER, kinds[6:]))], names=names)
+
+    met = stage(rows.repartition(parts, "tok").mapInArrow(meet, f"{PAIR}, tok long, key long, n int, asks int, full boolean"), "op8-met")
+    pairs, left = met.filter("a is not null").select("a", "b", "na", "nb", "la", "lb"), met.filter("a is null").select(*MEMBER)
+    counts = stage(left.groupBy("tok").agg(F.ceil(F.countDistinct("key") / hot).cast("int").alias("buckets")), "op8-hot")
+    load = counts.agg(F.sum(F.col("buckets").cast("double") ** 2)).first()[0]
+    if not load:
+        return pairs
+    dealt = left.join(counts, "tok").withColumn("mine", F.pmod(F.xxhash64("key"), "buckets").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("other"))
+    dealt = dealt.select(*MEMBER, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def cross(batches):
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
+            return
+        got = pa.Table.from_batches(got)
+        where = np.stack([got[c].to_numpy().astype(np.int64) for c in ("tok", "i", "j")])
+        _, group = np.unique(where, axis=1, return_inverse=True)
+        group, own = group.ravel(), where[1] == where[2]
+        for some, side in ((own, None), (~own, got["mine"].to_numpy())):
+            for cols in _meet(got.filter(pa.array(some)), percent, group[some], None if side is None else side[some]):
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], names=names[:6])
+
+    return pairs.unionByName(dealt.repartition(min(1 << 15, parts_for(int(load) * hot**2, PAIRS_PER_TASK, parts)), "tok", "i", "j").mapInArrow(cross, PAIR))
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
@@ -235,27 +296,20 @@ def block_links(x, y, percent: int) -> list[tuple[int, int]]:
     return _forest(ka[i], kb[j])
 
 
-def _full_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links among full sets: blocks of one size class with it and with the next class."""
-    full = stage(sets.filter("full").groupBy("key").agg(F.min("n").alias("n"), F.first("body").alias("body")), "op8-full")
-    step = float(np.log(100 / percent))
-    full = full.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    # Spread so that a block is of one class of sizes and of bounded length.
-    sizes = stage(full.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "op8-bands")
-    dealt = full.join(F.broadcast(sizes), "band").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+def _packed(dealt: DataFrame, name: str) -> DataFrame:
+    """band, block (string), keys, bodies: one row for each block of ``dealt`` (band, block, key, body)."""
 
     def pack(group: pa.Table) -> pa.Table:
-        keys = group["key"].to_pylist()
-        bodies = group["body"].to_pylist()
+        keys, bodies = group["key"].to_pylist(), group["body"].to_pylist()
         return pa.table({"band": group["band"][:1], "block": group["block"][:1], "keys": pa.array([keys], pa.list_(pa.int64())), "bodies": pa.array([bodies], pa.list_(pa.binary()))})
 
-    blocks = stage(dealt.groupBy("band", "block").applyInArrow(pack, "band int, block int, keys array<long>, bodies array<binary>"), "op8-blocks")
-    # Rounding of the logarithm can put a set on the edge into the next class: two classes on.
-    ask = F.explode(F.array(*[F.struct(F.lit(d).alias("d")) for d in (0, 1, 2)])).alias("s")
-    reach = blocks.select("band", "block", ask).select("band", F.col("block").alias("i"), (F.col("band") + F.col("s.d")).alias("other"))
-    reach = reach.join(F.broadcast(sizes.withColumnRenamed("band", "other")), "other")
-    reach = reach.select("band", "i", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).filter("band != other or j >= i")
-    left = reach.join(blocks.select("band", F.col("block").alias("i"), F.col("keys").alias("ka"), F.col("bodies").alias("ba")), ["band", "i"])
+    packed = dealt.select("band", "block", "key", "body").groupBy("band", "block").applyInArrow(pack, "band int, block string, keys array<long>, bodies array<binary>")
+    return stage(packed, name)
+
+
+def _compare(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Forests of the links between the blocks of each pair (band, i, other, j)."""
+    left = pairs.join(blocks.select("band", F.col("block").alias("i"), F.col("keys").alias("ka"), F.col("bodies").alias("ba")), ["band", "i"])
     both = left.join(blocks.select(F.col("band").alias("other"), F.col("block").alias("j"), F.col("keys").alias("kb"), F.col("bodies").alias("bb")), ["other", "j"])
 
     def compare(batches):
@@ -267,14 +321,75 @@ def _full_links(sets: DataFrame, percent: int) -> DataFrame:
     return both.select("ka", "ba", "kb", "bb").mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+#: A set links with none that is more than this many size classes away (two, as rounding of the
+#: logarithm can put a set on the edge into the next class).
+REACH = 2
+
+
+def _near(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left`` (band, ...) with those of ``right`` (other, ...) of bands in reach."""
+    ask = left.withColumn("other", F.explode(F.array(*[F.col("band") + d for d in range(-REACH, REACH + 1)])))
+    return ask.join(right, "other")
+
+
+def _full_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links among full sets, as a spanning forest: see the module's fourth point."""
+    full = sets.filter("full").groupBy("key").agg(F.min("n").alias("n"), F.first("body").alias("body"))
+    step = float(np.log(100 / percent))
+    full = stage(full.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "op8-full")
+    if not full.limit(1).count():
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+
+    def all_pairs(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Blocks by hash of key, and all their pairs (of bands in reach)."""
+        sizes = stage(rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), f"{name}-bands")
+        dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("string"))
+        blocks = _packed(dealt, f"{name}-blocks")
+        names = blocks.select("band", F.col("block").alias("i"))
+        pairs = _near(names, blocks.select(F.col("band").alias("other"), F.col("block").alias("j")))
+        return blocks, pairs.filter("band < other or (band = other and i <= j)")
+
+    # 1. Within blocks.
+    blocks, pairs = all_pairs(full, "op8-first")
+    links = stage(_compare(pairs.filter("band = other and i = j"), blocks, percent), "op8-within")
+    roots = stage(components(links), "op8-within-roots")
+    # 2. One of each group with one of each other: those that no link leads to a lesser key.
+    heads = full.join(roots.filter("node != root").select(F.col("node").alias("key")), "key", "left_anti")
+    blocks, pairs = all_pairs(heads, "op8-heads")
+    links = stage(links.unionByName(_compare(pairs, blocks, percent)), "op8-between")
+    roots = stage(components(links), "op8-between-roots")
+    # 3. What is still apart. A large group has blocks of its own, which meet those of other
+    # groups only; small groups share blocks.
+    owned = full.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    per = stage(owned.groupBy("band", "root").agg(F.count("*").alias("n")), "op8-groups")
+    large = per.filter(F.col("n") >= BLOCK).select("band", "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = stage(per.filter(F.col("n") < BLOCK).groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("mixed")), "op8-mixed")
+    dealt = owned.join(large, ["band", "root"], "left").join(rest, "band", "left")
+    own = F.concat_ws("/", F.col("root").cast("string"), F.pmod(F.xxhash64("key"), "blocks").cast("string"))
+    block = F.when(F.col("blocks").isNotNull(), own).otherwise(F.concat(F.lit("m"), F.pmod(F.xxhash64("root"), "mixed").cast("string")))
+    blocks = _packed(dealt.withColumn("block", block), "op8-apart")
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    named = lambda n: F.concat(F.lit("m"), F.col(n).cast("string"))
+    as_other = lambda rows, n: rows.withColumnsRenamed({"band": "other", **{x: f"{x}_2" for x in n}})
+    groups = _near(large, as_other(large, ["root", "blocks"])).filter("root < root_2")
+    groups = groups.select("band", "other", "root", "root_2", "blocks_2", number("blocks").alias("x")).select("band", "other", F.concat_ws("/", "root", "x").alias("i"), F.col("root_2"), number("blocks_2").alias("y"))
+    groups = groups.select("band", "i", "other", F.concat_ws("/", "root_2", "y").alias("j"))
+    some = _near(large, as_other(rest, [])).select("band", "other", "root", "blocks", number("mixed").alias("y"))
+    some = some.select("band", "other", "root", "y", number("blocks").alias("x")).select("band", F.concat_ws("/", "root", "x").alias("i"), "other", named("y").alias("j"))
+    few = _near(rest, as_other(rest, ["mixed"])).filter("band <= other").select("band", "other", "mixed_2", number("mixed").alias("x"))
+    few = few.select("band", "other", "x", number("mixed_2").alias("y")).filter("band < other or x <= y").select("band", named("x").alias("i"), "other", named("y").alias("j"))
+    apart = groups.unionByName(some).unionByName(few)
+    return links.unionByName(_compare(apart, blocks, percent))
+
+
+def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, th, n_shingles, component_id, root (number of the
     component; documents without shingles share one and are no group)."""
     own = keyed(docs)
-    often = frequent_tokens(own, n, frequent)
-    sets = stage(_sets(own, n, percent, often), "op8-sets")
+    often = frequent_tokens(own, n, min(COUNTED, frequent))
+    sets = stage(_sets(own, n, percent, often, frequent), "op8-sets")
     tokens = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
-    grouped = _pairs(sets, parts_for(tokens, 400_000, 12), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("la").alias("la"), F.min("lb").alias("lb"))
+    grouped = _pairs(sets, parts_for(tokens, 400_000, 12), percent, hot).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("la").alias("la"), F.min("lb").alias("lb"))
     sent = lambda m, l: F.col(m) - F.ceil(F.col(m) * percent / 100.0 - 1e-9) + F.col(l)
     rest = F.greatest(F.col("na") - sent("na", "la"), F.col("nb") - sent("nb", "lb"))
     enough = (F.col("c") >= F.least("la", "lb")) & ((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb")))

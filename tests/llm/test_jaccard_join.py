@@ -58,11 +58,12 @@ def corpus(seed):
     return rows + [(700, None), (701, ""), (702, " \t\n"), (5, rows[5][1]), (None, rows[6][1]), (None, "alone here")]
 
 
-def test_same_as_brute_force(spark):
-    for seed, frequent in ((1, 48), (2, 6), (3, 3)):
+def test_same_as_brute_force(spark, monkeypatch):
+    for seed, frequent, hot, block in ((1, 48, 512, 256), (2, 6, 2, 4), (3, 3, 3, 8)):
+        monkeypatch.setattr(jj, "BLOCK", block)
         rows = corpus(seed)
         docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS).repartition(3)
-        got = jj.jaccard_components(docs, frequent=frequent).drop("th", "root").collect()
+        got = jj.jaccard_components(docs, frequent=frequent, hot=hot).drop("th", "root").collect()
         assert len(got) == len(rows)
         assert {tuple(x) for x in got} == brute(rows, 4, 85)
 
@@ -78,3 +79,39 @@ def test_block_links_agree_with_sets():
 
 def test_empty_table(spark):
     assert jj.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_texts_on_which_hashes_modulo_a_power_of_two_collide(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_hot_token_is_split(spark):
+    """A token of many documents that the table missed: every pair once, in bounded tasks."""
+    rows = [(7, k, 100 + k % 40, 1, k % 50 == 0, [7, 1000 + k // 3]) for k in range(1500)]
+    sets = spark.createDataFrame(rows, "tok long, key long, n int, asks int, full boolean, toks array<long>")
+    want = jj._pairs(sets, 16, 85, hot=1 << 20).collect()
+    got = jj._pairs(sets, 16, 85, hot=100)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 500_000
+    # 15 buckets make 120 pairs, dealt to 16 tasks: none has a large share.
+    most = max(got.filter("a is not null").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect())
+    assert most < len(want) // 4
+
+
+def test_prefix_length_follows_the_frequencies():
+    tokens = np.arange(100, dtype=np.uint64)
+    table = lambda counts: (tokens[: len(counts)], np.array(counts))
+    ask = lambda counts: jj.prefix_of(tokens, table(counts), 85)[1]
+    assert ask([]) > 1  # rare tokens: a longer prefix costs little
+    assert ask([40] * 84) == 1  # the sixteenth token on is costly: none more is sent
+    assert ask([20] * 100) > 1  # all alike: more matches save verification
+    assert jj.prefix_of(tokens, table([60] * 90), 85)[2]
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " more"), (3, "z" * 3_000_000), (4, " ".join(["the"] * 200_000))]
+    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 199_997, 1), (2, 199_998, 1), (3, 1, 3), (4, 1, 4)]
