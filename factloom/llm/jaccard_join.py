@@ -19,9 +19,9 @@ they share at least ceil(t n) tokens, so their prefixes of n - ceil(t n) + l tok
 4. Documents whose prefix needs frequent tokens (almost all of their text is frequent: large
    groups of near copies) are "full". They are compared among themselves by products of 0/1
    matrices over blocks of bounded size, in neighbouring size classes, and only a spanning
-   forest of the links is returned (``_full_links``): first within blocks, then one document of
-   each group found so far with one of each other, then, of what is still apart, blocks of
-   different groups. A group of near copies, however large, is compared with others only.
+   forest of the links is returned: first within blocks, then one document of each group found
+   so far with one of each other, and, once the components of these links are known, of what
+   is still apart, blocks of different groups. A group of near copies, however large, is compared with others only.
    With all other documents full ones share a rare prefix token.
 5. Candidate pairs are counted; count and prefix lengths bound the possible overlap; what is
    left is verified on the whole sets: first each document with its least candidate, then
@@ -332,39 +332,58 @@ def _near(left: DataFrame, right: DataFrame) -> DataFrame:
     return ask.join(right, "other")
 
 
-def _full_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links among full sets, as a spanning forest: see the module's fourth point."""
+def _dealt(rows: DataFrame, name: str) -> DataFrame:
+    """Blocks of about ``BLOCK`` sets, by hash of key inside a band."""
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # A row for each size class, of which there are a few dozen.
+    dealt = rows.join(F.broadcast(sizes), "band").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("string"))
+    return _packed(dealt, name)
+
+
+def _full_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """key, n, body, band of the full sets."""
     full = sets.filter("full").groupBy("key").agg(F.min("n").alias("n"), F.first("body").alias("body"))
     step = float(np.log(100 / percent))
-    full = stage(full.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "op8-full")
-    if not full.limit(1).count():
-        return sets.sparkSession.createDataFrame([], "a long, b long")
-
-    def all_pairs(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Blocks by hash of key, and all their pairs (of bands in reach)."""
-        sizes = stage(rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), f"{name}-bands")
-        dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("string"))
-        blocks = _packed(dealt, f"{name}-blocks")
-        names = blocks.select("band", F.col("block").alias("i"))
-        pairs = _near(names, blocks.select(F.col("band").alias("other"), F.col("block").alias("j")))
-        return blocks, pairs.filter("band < other or (band = other and i <= j)")
-
-    # 1. Within blocks.
-    blocks, pairs = all_pairs(full, "op8-first")
-    links = stage(_compare(pairs.filter("band = other and i = j"), blocks, percent), "op8-within")
-    roots = stage(components(links), "op8-within-roots")
-    # 2. One of each group with one of each other: those that no link leads to a lesser key.
-    heads = full.join(roots.filter("node != root").select(F.col("node").alias("key")), "key", "left_anti")
-    blocks, pairs = all_pairs(heads, "op8-heads")
-    links = stage(links.unionByName(_compare(pairs, blocks, percent)), "op8-between")
-    roots = stage(components(links), "op8-between-roots")
-    # 3. What is still apart. A large group has blocks of its own, which meet those of other
-    # groups only; small groups share blocks.
+    return stage(full.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "op8-full")
+
+
+def _full_links(full: DataFrame, percent: int) -> DataFrame:
+    """Links within blocks of full sets, as stars around the least key of each group, and among
+    those of different blocks."""
+
+    def group(batches):
+        for batch in batches:
+            for keys, bodies in zip(batch["keys"].to_pylist(), batch["bodies"].to_pylist()):
+                x = _unpack(keys, bodies)
+                head = {k: k for k in keys}
+                for a, b in block_links(x, x, percent):  # a forest: following it upwards ends
+                    while head[a] != a:
+                        a = head[a]
+                    while head[b] != b:
+                        b = head[b]
+                    head[max(a, b)] = min(a, b)
+                for k in keys:
+                    while head[k] != head[head[k]]:
+                        head[k] = head[head[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([head[k] for k in keys], pa.int64())], names=["key", "head"])
+
+    within = stage(_dealt(full, "op8-first").select("keys", "bodies").mapInArrow(group, "key long, head long"), "op8-within")
+    heads = _dealt(full.join(within.filter("key = head").select("key"), "key"), "op8-heads")
+    names = heads.select("band", F.col("block").alias("i"))
+    pairs = _near(names, heads.select(F.col("band").alias("other"), F.col("block").alias("j"))).filter("band < other or (band = other and i <= j)")
+    return within.filter("key != head").select(F.col("head").alias("a"), F.col("key").alias("b")).unionByName(_compare(pairs, heads, percent))
+
+
+def _full_apart(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between full sets that ``roots`` (node, root) holds apart. A large group has blocks
+    of its own, which meet those of other groups only; small groups share blocks."""
     owned = full.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     per = stage(owned.groupBy("band", "root").agg(F.count("*").alias("n")), "op8-groups")
+    if per.select("root").distinct().limit(2).count() < 2:
+        return full.sparkSession.createDataFrame([], "a long, b long")
     large = per.filter(F.col("n") >= BLOCK).select("band", "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = stage(per.filter(F.col("n") < BLOCK).groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("mixed")), "op8-mixed")
-    dealt = owned.join(large, ["band", "root"], "left").join(rest, "band", "left")
+    rest = per.filter(F.col("n") < BLOCK).groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("mixed"))
+    dealt = owned.join(large, ["band", "root"], "left").join(F.broadcast(rest), "band", "left")
     own = F.concat_ws("/", F.col("root").cast("string"), F.pmod(F.xxhash64("key"), "blocks").cast("string"))
     block = F.when(F.col("blocks").isNotNull(), own).otherwise(F.concat(F.lit("m"), F.pmod(F.xxhash64("root"), "mixed").cast("string")))
     blocks = _packed(dealt.withColumn("block", block), "op8-apart")
@@ -378,8 +397,7 @@ def _full_links(sets: DataFrame, percent: int) -> DataFrame:
     some = some.select("band", "other", "root", "y", number("blocks").alias("x")).select("band", F.concat_ws("/", "root", "x").alias("i"), "other", named("y").alias("j"))
     few = _near(rest, as_other(rest, ["mixed"])).filter("band <= other").select("band", "other", "mixed_2", number("mixed").alias("x"))
     few = few.select("band", "other", "x", number("mixed_2").alias("y")).filter("band < other or x <= y").select("band", named("x").alias("i"), "other", named("y").alias("j"))
-    apart = groups.unionByName(some).unionByName(few)
-    return links.unionByName(_compare(apart, blocks, percent))
+    return _compare(groups.unionByName(some).unionByName(few), blocks, percent)
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
@@ -407,11 +425,14 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
 
     bodies = stage(texts.mapInArrow(bodies_of, "key long, body binary"), "op8-bodies")
     near = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stage(_verify(near, bodies, percent).unionByName(_full_links(sets, percent)), "op8-links")
+    links, full = _verify(near, bodies, percent), _full_sets(sets, percent)
+    held = bool(full.limit(1).count())
+    links = stage(links.unionByName(_full_links(full, percent)) if held else links, "op8-links")
     roots = stage(components(links), "op8-roots")
     left = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     left = left.filter("ra is null or rb is null or ra != rb").select("a", "b")
-    more = stage(_verify(left.join(near.withColumn("done", F.lit(1)), ["a", "b"], "left_anti"), bodies, percent), "op8-more")
+    more = _verify(left.join(near.withColumn("done", F.lit(1)), ["a", "b"], "left_anti"), bodies, percent)
+    more = stage(more.unionByName(_full_apart(full, roots, percent)) if held else more, "op8-more")
     if more.limit(1).count():
         roots = stage(components(links.unionByName(more)), "op8-roots")
     owner = sets.groupBy("key").agg(F.min("doc_id").alias("first"))
