@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from factloom.queries import facts, live, records, schema  # noqa: F401  (they register themselves)
+    from factloom.queries import behaviors, channels, facts, live, records, schema, writes  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

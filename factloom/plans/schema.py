@@ -115,7 +115,7 @@ def migration_plan(old: dict, new: dict) -> list[tuple[str, str]]:
             out.append((p, "replaySafe"))
         elif p not in a:
             table = p.split(".")[0]
-            fresh = table not in a or b[p][1] or b[p][0] == "table" or any(q in b and q not in a for q in (p.rsplit(".", 1)[0],))
+            fresh = table not in a or b[p][1] or b[p][0] == "table" or any(q in b and q not in a for q in (p[:-2] if p.endswith("[]") else p.rsplit(".", 1)[0],))
             out.append((p, "compatible" if fresh else "unsafe"))
         elif a[p][0] != b[p][0]:
             wider = a[p][0].startswith("text:") and b[p][0].startswith("text:") and int(a[p][0][5:]) <= int(b[p][0][5:])

@@ -83,7 +83,7 @@ def snapshot_plus_tail(spark, d):
     return op.snapshot_plus_tail(op.fold_records(op.as_of(log, 5000)), log, 5000).select("key", "lsn", "value")
 
 
-@register("replay_as_of", f"""WITH {LOG}, s AS (SELECT * FROM ops WHERE lsn <= 4000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1), a AS (SELECT unnest(['1', '2', '3', '4', '5', '6', 'nobody']) AS key)
+@register("replay_as_of", f"""WITH {LOG}, s AS (SELECT * FROM ops WHERE lsn <= 4000 AND tbl = 'accounts' QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1), a AS (SELECT unnest(['1', '2', '3', '4', '5', '6', 'nobody']) AS key)
  SELECT a.key, CASE kind WHEN 'recordUpserted' THEN 'exists' WHEN 'recordDeleted' THEN 'deleted' ELSE 'missing' END AS status, lsn AS source_lsn, CASE WHEN kind = 'recordUpserted' THEN value END AS value FROM a LEFT JOIN s ON a.key = s.key""")
 def replay_as_of(spark, d):
     return op.replay_as_of(m.log(spark, d), "accounts", ["1", "2", "3", "4", "5", "6", "nobody"], 4000)
@@ -346,7 +346,9 @@ def backup_chain_verify(spark, d):
     return ob.verify_chain(bundles(spark, d))
 
 
-@register("backup_latest_chain")
+@register("backup_latest_chain", f"""WITH RECURSIVE {BUNDLES}, nxt AS (SELECT * FROM b WHERE ok AND base_lsn > 0 AND current_lsn > base_lsn QUALIFY row_number() OVER (PARTITION BY base_lsn ORDER BY current_lsn DESC, bundle_id DESC) = 1),
+ c AS (SELECT bundle_id AS root, current_lsn AS root_lsn, bundle_id, current_lsn, 0 AS position FROM b WHERE ok AND base_lsn = 0 UNION ALL SELECT root, root_lsn, nxt.bundle_id, nxt.current_lsn, c.position + 1 FROM c JOIN nxt ON nxt.base_lsn = c.current_lsn)
+ SELECT position, bundle_id FROM c WHERE root = (SELECT root FROM c GROUP BY root ORDER BY max(current_lsn) DESC, min(root_lsn) LIMIT 1)""")
 def backup_latest_chain(spark, d):
     return spark.createDataFrame(list(enumerate(ob.latest_chain(bundles(spark, d)))), "position int, bundle_id string")
 
@@ -369,7 +371,7 @@ def volatile_excluded(spark, d):
     return op.fold_records(log.unionByName(volatile).filter("lsn > 0")).select("key", "lsn", "value")
 
 
-@register("object_range")
+@register("object_range", "SELECT CAST(doc_id AS VARCHAR) AS object_id, substr(hex(encode(coalesce(text, ''))), 21, 40) AS part FROM documents")
 def object_range(spark, d):
     """Bytes 10-29 of each object's body."""
     body = m.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("object_id"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))

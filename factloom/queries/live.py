@@ -17,7 +17,7 @@ from factloom.queries.model import CONNECTIONS, CUSTOMERS, LOG, page_sql
 FACT = "lsn, kind, key, value"
 
 
-@register("sync_pull", f"""WITH {LOG} SELECT {FACT} FROM log WHERE lsn > 500 AND ((kind = 'messageCreated' AND room IN ('1', '2')) OR (kind IN ('userUpserted', 'userEventPublished') AND user_id = '5') OR kind IN ('recordUpserted', 'recordDeleted')) ORDER BY lsn LIMIT 100""")
+@register("sync_pull", f"""WITH {LOG} SELECT {FACT} FROM log WHERE lsn > 500 AND ((kind = 'messageCreated' AND room IN ('1', '2')) OR (kind IN ('userUpserted', 'userEventPublished') AND user_id = '5') OR (kind IN ('recordUpserted', 'recordDeleted') AND tbl = 'accounts')) ORDER BY lsn LIMIT 100""")
 def sync_pull(spark, d):
     rows = folds.sync_filter(m.log(spark, d), rooms=["1", "2"], users=["5"], tables=["accounts"])
     return folds.sync_page(rows, 500, 100).select("lsn", "kind", "key", "value")
@@ -59,32 +59,35 @@ def query_diff(spark, d):
     return op.query_diff(before, after, deletes)
 
 
-@register("result_fingerprint")
+@register("result_fingerprint", f"WITH {DIFF} SELECT sha256(coalesce(string_agg(key || chr(31) || CAST(lsn AS VARCHAR) || chr(31) || CAST(value AS VARCHAR), chr(30) ORDER BY key), '')) AS result_id, count(*) AS n FROM p2")
 def result_fingerprint(spark, d):
     return op.fingerprint(_pages(spark, d)[2])
 
 
 SUBS = """subs AS (SELECT CAST(c_custkey AS VARCHAR) AS sub_id, 'accounts' AS tbl, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) END AS lower, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) || '~' END AS upper,
- CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS VARCHAR) END AS prefix FROM customer WHERE c_custkey < 90 AND c_custkey % 3 <> 2)"""
+ CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS VARCHAR) END AS prefix FROM customer WHERE c_custkey % 3 <> 2)"""
 
 
-def _subscriptions(spark, d, which="c_custkey < 90"):
+def _subscriptions(spark, d):
     key = F.col("c_custkey").cast("string")
-    rows = m.table(spark, d, "customer").filter("c_custkey % 3 != 2").filter(which)
+    rows = m.table(spark, d, "customer").filter("c_custkey % 3 != 2")
     ranged = F.col("c_custkey") % 3 == 0
     return rows.select(key.alias("sub_id"), F.lit("accounts").alias("tbl"), F.when(ranged, key).alias("lower"), F.when(ranged, F.concat(key, F.lit("~"))).alias("upper"), F.when(~ranged, key).alias("prefix"))
 
 
-@register("route_events", f"WITH {LOG}, {SUBS} SELECT sub_id, lsn, ops.key FROM ops JOIN subs s ON ops.tbl = s.tbl AND (lower IS NULL OR ops.key >= lower) AND (upper IS NULL OR ops.key < upper) AND (prefix IS NULL OR starts_with(ops.key, prefix)) WHERE lsn > 8000")
+ROUTED = f"WITH {LOG}, {SUBS} SELECT sub_id, lsn, ops.key FROM ops JOIN subs s ON ops.tbl = s.tbl AND (lower IS NULL OR ops.key >= lower) AND (upper IS NULL OR ops.key < upper) AND (prefix IS NULL OR starts_with(ops.key, prefix))"
+
+
+@register("route_events", ROUTED)
 def route_events(spark, d):
-    events = m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE) & (F.col("lsn") > 8000))
+    events = m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE))
     return op.route_events(events, _subscriptions(spark, d))
 
 
-@register("route_events_all")
+@register("route_events_all", ROUTED)
 def route_events_all(spark, d):
     """All events to the subscriptions of all customers (two of three have one)."""
-    return op.route_events(m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE)), _subscriptions(spark, d, "true"))
+    return op.route_events(m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE)), _subscriptions(spark, d))
 
 
 @register("targeted_events", f"WITH {CONNECTIONS} SELECT session_id, array_to_string(list_sort(list_intersect(rooms, ['1', '2', '3'])), ',') AS matched FROM conn WHERE len(list_intersect(rooms, ['1', '2', '3'])) > 0")
@@ -93,32 +96,37 @@ def targeted_events(spark, d):
     return m.connections(spark, d).filter(F.size(both) > 0).select("session_id", F.array_join(both, ",").alias("matched"))
 
 
-@register("affected_queries", f"""WITH {LOG}, e AS (SELECT * FROM ops WHERE lsn > 9990), q AS (SELECT CAST(c_custkey AS VARCHAR) AS query_id, CASE WHEN c_custkey % 2 = 0 THEN 'accounts' ELSE 'rooms' END AS tbl, c_acctbal AS least FROM customer WHERE c_custkey < 60),
- p AS (SELECT CAST(c_custkey AS VARCHAR) AS query_id, CAST(c_custkey * 2 AS VARCHAR) AS key FROM customer WHERE c_custkey < 60)
- SELECT query_id FROM e JOIN q ON e.tbl = q.tbl WHERE kind = 'recordDeleted' OR value >= least UNION SELECT query_id FROM e JOIN p ON e.key = p.key""")
+AFFECTED = f"""WITH {LOG}, e AS (SELECT * FROM ops), q AS (SELECT CAST(c_custkey AS VARCHAR) AS query_id, CASE WHEN c_custkey % 2 = 0 THEN 'accounts' ELSE 'rooms' END AS tbl, c_acctbal AS least FROM customer),
+ p AS (SELECT CAST(c_custkey AS VARCHAR) AS query_id, CAST(c_custkey * 2 AS VARCHAR) AS key FROM customer)
+ SELECT query_id FROM e JOIN q ON e.tbl = q.tbl WHERE kind = 'recordDeleted' OR value >= least UNION SELECT query_id FROM e JOIN p ON e.key = p.key"""
+
+
+@register("affected_queries", AFFECTED)
 def affected_queries(spark, d):
-    return _affected(spark, d, "lsn > 9990", "c_custkey < 60")
+    return _affected(spark, d)
 
 
-@register("affected_queries_all")
+@register("affected_queries_all", AFFECTED)
 def affected_queries_all(spark, d):
     """The queries and pages of all customers, over all events."""
-    return _affected(spark, d, "true", "true")
+    return _affected(spark, d)
 
 
-def _affected(spark, d, events, customers):
-    events = m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE)).filter(events)
-    own = m.table(spark, d, "customer").filter(customers)
+def _affected(spark, d):
+    events = m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE))
+    own = m.table(spark, d, "customer")
     key = F.col("c_custkey").cast("string")
     queries = own.select(key.alias("query_id"), F.when(F.col("c_custkey") % 2 == 0, "accounts").otherwise("rooms").alias("tbl"), F.col("c_acctbal").alias("least"))
     return op.affected_queries(events, queries, own.select(key.alias("query_id"), (F.col("c_custkey") * 2).cast("string").alias("key")))
 
 
-@register("delivery_filter", f"""WITH {LOG}, {CONNECTIONS} SELECT session_id, lsn, key FROM ops JOIN conn c ON true WHERE lsn > 9900 AND (lsn % 3 <> 0 OR session_id = key || '#1') AND (lsn % 2 = 0 OR ops.user_id = c.user_id)""")
+@register("delivery_filter", f"""WITH {LOG}, {CONNECTIONS}, s AS (SELECT DISTINCT session_id, user_id, unnest(rooms) AS room FROM conn) SELECT session_id, lsn, key FROM ops JOIN s ON s.room = ops.room WHERE (lsn % 3 <> 0 OR session_id = key || '#1') AND (lsn % 2 = 0 OR ops.user_id = s.user_id)""")
 def delivery_filter(spark, d):
-    events = m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE) & (F.col("lsn") > 9900))
+    """Each event to the sessions that are in its room and may see it."""
+    events = m.log(spark, d).filter(F.col("kind").isin(folds.UPSERT, folds.DELETE)).withColumn("tbl", F.col("room"))
     events = events.withColumns({"targets": F.when(F.col("lsn") % 3 == 0, F.array(F.concat("key", F.lit("#1")))), "protected": F.col("lsn") % 2 == 1, "owner": F.col("user_id")})
-    return op.deliveries(events, m.connections(spark, d).withColumn("tbl", F.lit("accounts")))
+    sessions = m.connections(spark, d).select("session_id", "user_id", F.explode(F.array_distinct("rooms")).alias("tbl"))
+    return op.deliveries(events, sessions)
 
 
 @register("rls_delete_prev", f"""WITH {LOG}, p AS (SELECT lsn, key, kind, lag(value) OVER (PARTITION BY key ORDER BY lsn) AS prev, lag(kind) OVER (PARTITION BY key ORDER BY lsn) AS prev_kind FROM ops) SELECT lsn, key, prev FROM p WHERE kind = 'recordDeleted' AND prev_kind = 'recordUpserted' AND prev >= 40""")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,28 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the executors see too: below the session's checkpoint folder. Only a
+    local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="factloom-query-")
+
+
+def streamed(spark: SparkSession, rows: DataFrame, build, schema: str) -> DataFrame:
+    """What a stream over ``rows``, as files of three ranges of LSNs, sends in update mode."""
+    from factloom.streaming import live_tables as st
+
+    path = scratch(spark)
+    rows.repartitionByRange(3, "lsn").write.parquet(f"{path}/log")
+    out = build(st.read_log_stream(spark, f"{path}/log", rows.schema, 3))
+    st.run_available(out, lambda b, n: b.write.mode("overwrite").parquet(f"{path}/deltas/{n}"), f"{path}/checkpoint", "update")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/deltas")
+
+
 def customers(spark, d) -> DataFrame:
     """Top-level record table with indexes on segment and on (nation, acctbal)."""
     t = table(spark, d, "customer")
@@ -44,7 +70,7 @@ def log(spark, d) -> DataFrame:
         (F.col("event_id") + 1).alias("lsn"),
         (F.col("event_id") % SHARDS).alias("shard"),
         kind[F.col("event_type")].alias("kind"),
-        F.lit("accounts").alias("tbl"),
+        F.when(F.col("user_id") % 4 == 3, "orders").otherwise("accounts").alias("tbl"),
         F.col("user_id").cast("string").alias("key"),
         F.col("user_id").cast("string").alias("user_id"),
         (F.col("user_id") % 16).cast("string").alias("room"),
@@ -58,7 +84,7 @@ def log(spark, d) -> DataFrame:
 
 LOG = """log AS (SELECT event_id + 1 AS lsn, event_id % 4 AS shard,
  CASE event_type WHEN 'purchase' THEN 'recordUpserted' WHEN 'error' THEN 'recordDeleted' WHEN 'signup' THEN 'userUpserted' WHEN 'view' THEN 'messageCreated' WHEN 'click' THEN 'userEventPublished' END AS kind,
- 'accounts' AS tbl, CAST(user_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) AS user_id, CAST(user_id % 16 AS VARCHAR) AS room, value,
+ CASE WHEN user_id % 4 = 3 THEN 'orders' ELSE 'accounts' END AS tbl, CAST(user_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) AS user_id, CAST(user_id % 16 AS VARCHAR) AS room, value,
  epoch_us(ts) // 1000 AS ts_ms, props, 'm' || CAST((event_id * 7) % 5000 AS VARCHAR) AS mutation_id, event_id // 1000 AS file FROM events),
  ops AS (SELECT * FROM log WHERE kind IN ('recordUpserted', 'recordDeleted')),
  laststate AS (SELECT * FROM ops QUALIFY row_number() OVER (PARTITION BY tbl, key ORDER BY lsn DESC) = 1),

@@ -114,7 +114,7 @@ def predicate_conjunction(spark, d):
 
 
 def _variant(spark, d):
-    return m.log(spark, d).select("lsn", "key", "kind", "value", F.parse_json("props").alias("props"))
+    return m.log(spark, d).select("lsn", "key", "kind", "value", F.parse_json("props").alias("props"), F.parse_json(F.concat(F.lit("{"), F.when(F.col("lsn") % 3 == 0, F.concat(F.lit('"deep": {"x": '), (F.col("lsn") % 10).cast("string"), F.lit("}"))).otherwise(""), F.lit("}"))).alias("extra"))
 
 
 def _pred(name: str, term: dict, sql: str):
@@ -130,8 +130,8 @@ K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 _pred("pred_eq", {"path": "props.k", "op": "eq", "value": 50}, f"{K} = 50")
 _pred("pred_ne", {"path": "props.k", "op": "ne", "value": 50}, f"{K} <> 50")
 _pred("pred_range", {"path": "props.k", "op": "gte", "value": 90}, f"{K} >= 90")
-_pred("pred_exists", {"path": "props.missing", "op": "exists", "value": False}, "json_extract(props, '$.missing') IS NULL")
-_pred("pred_nested_path", {"path": "props.k", "op": "lt", "value": 3}, f"{K} < 3")
+_pred("pred_exists", {"path": "extra.deep.x", "op": "exists", "value": False}, "lsn % 3 <> 0")
+_pred("pred_nested_path", {"path": "extra.deep.x", "op": "lt", "value": 3}, "lsn % 3 = 0 AND lsn % 10 < 3")
 _pred("pred_contains_str", {"path": "kind", "op": "contains", "value": "Upsert"}, "contains(kind, 'Upsert')")
 _pred("pred_starts_with", {"path": "kind", "op": "startsWith", "value": "record"}, "starts_with(kind, 'record')")
 
@@ -159,11 +159,12 @@ def valid_keys(spark, d):
     return op.valid_keys(m.customers(spark, d), "^[0-9]{1,3}$").select("key")
 
 
-@register("index_type_order", f"WITH {LOG} SELECT lsn, row_number() OVER (ORDER BY {K}, lsn) AS position FROM log WHERE lsn <= 300")
+@register("index_type_order", f"WITH {LOG} SELECT lsn, row_number() OVER (ORDER BY {K}, lsn) AS position FROM log ORDER BY position LIMIT 300")
 def index_type_order(spark, d):
     from pyspark.sql.window import Window
 
-    rows = _variant(spark, d).filter("lsn <= 300").withColumn("v", F.variant_get("props", "$.k", "variant"))
+    rows = _variant(spark, d).withColumn("v", F.variant_get("props", "$.k", "variant"))
+    rows = rows.orderBy(typed_sort_key(F.col("v")), "lsn").limit(300)  # a page of the index, by a top-k over the whole log
     return rows.select("lsn", F.row_number().over(Window.orderBy(typed_sort_key(F.col("v")), "lsn")).cast("long").alias("position"))
 
 

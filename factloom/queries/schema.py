@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from factloom.catalog import register
@@ -58,10 +56,10 @@ def occ_conflicts(spark, d):
     return co.occ_conflicts(overlay(m.customers(spark, d), m.live_customers(spark, d), m.dead_customers(spark, d)), asked)
 
 
-@register("pending_conflicts", f"WITH {LOG}, q AS (SELECT lsn AS queued, key, lsn - 40 AS expected_lsn FROM log WHERE kind = 'messageCreated' AND lsn > 9000) SELECT queued, q.key, expected_lsn, coalesce(f.lsn, 0) AS current_lsn FROM q LEFT JOIN folded f ON q.key = f.key WHERE coalesce(f.lsn, 0) > expected_lsn")
+@register("pending_conflicts", f"WITH {LOG}, q AS (SELECT lsn AS queued, key, lsn - 40 AS expected_lsn FROM log WHERE kind = 'messageCreated') SELECT queued, q.key, expected_lsn, coalesce(f.lsn, 0) AS current_lsn FROM q LEFT JOIN folded f ON q.key = f.key WHERE coalesce(f.lsn, 0) > expected_lsn")
 def pending_conflicts(spark, d):
     log = m.log(spark, d)
-    queue = log.filter("kind = 'messageCreated' and lsn > 9000").select(F.col("lsn").alias("queued"), "key", (F.col("lsn") - 40).alias("expected_lsn"))
+    queue = log.filter("kind = 'messageCreated'").select(F.col("lsn").alias("queued"), "key", (F.col("lsn") - 40).alias("expected_lsn"))
     now = folds.fold_records(log).select("key", F.col("lsn").alias("current_lsn"))
     return queue.join(now, "key", "left").withColumn("current_lsn", F.coalesce("current_lsn", F.lit(0))).filter("current_lsn > expected_lsn").select("queued", "key", "expected_lsn", "current_lsn")
 
@@ -82,12 +80,13 @@ def size_violations(spark, d):
     return co.size_violations(m.table(spark, d, "pages"), "html", 8192).select("page_id", F.octet_length("html").cast("long").alias("bytes"))
 
 
-@register("schema_report")
+@register("schema_report", "SELECT 'customer.byOwner: unknown field missing' AS issue")
 def schema_report(spark, d):
     return spark.createDataFrame([(x,) for x in sc.report(NEW)], "issue string")
 
 
-@register("migration_plan")
+@register("migration_plan", """SELECT * FROM (VALUES ('customer.name', 'compatible'), ('customer.nation', 'unsafe'), ('customer.note', 'replaySafe'), ('customer.owner', 'unsafe'), ('customer.tags', 'compatible'), ('customer.tags[]', 'compatible'),
+ ('visits', 'compatible'), ('visits.at', 'compatible'), ('customer#indexes', 'rebuild')) AS t(path, verdict)""")
 def migration_plan(spark, d):
     return spark.createDataFrame(sc.migration_plan(OLD, NEW), "path string, verdict string")
 
@@ -115,17 +114,21 @@ def _welcome(context: dict) -> list[dict]:
  SELECT mutation_id, lsn, op_index, kind, key, mutation_id || ':00' || CAST(op_index AS VARCHAR) || ':' || kind AS child_id FROM c""")
 def behavior_commands(spark, d):
     rows = m.log(spark, d).filter("kind = 'userUpserted'").select("mutation_id", "lsn", F.to_json(F.struct("value", "room")).alias("context"))
-    return be.invoke("welcome", rows).drop("value")
+    return be.invoke("welcome", rows).drop("value", "part", "durable")
 
 
 @register("read_plan", f"WITH {LOG} SELECT room, (SELECT count(*) FROM folded f WHERE f.room = r.room) AS records, (SELECT count(*) FROM log l WHERE l.room = r.room AND kind = 'userEventPublished') AS events FROM (SELECT DISTINCT room FROM log) r")
 def read_plan(spark, d):
     log = m.log(spark, d)
-    made = be.read_plan(log.select("room").distinct(), records=folds.fold_records(log).select("room", "key", "value"), events=log.filter("kind = 'userEventPublished'").select("room", "lsn"))
-    return made.select("room", F.coalesce(F.size("records"), F.lit(0)).cast("long").alias("records"), F.coalesce(F.size("events"), F.lit(0)).cast("long").alias("events"))
+    n = lambda rows, name: rows.groupBy("room").agg(F.count("*").alias(name))
+    made = log.select("room").distinct().join(n(folds.fold_records(log), "records"), "room", "left").join(n(log.filter("kind = 'userEventPublished'"), "events"), "room", "left")
+    return made.select("room", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
-@register("channel_state_cas")
+@register("channel_state_cas", f"""WITH RECURSIVE {LOG}, u AS (SELECT room AS channel, lsn, CASE WHEN lsn % 3 = 0 THEN 0 END AS expected, row_number() OVER (PARTITION BY room ORDER BY lsn) AS rn FROM log WHERE kind = 'recordUpserted'),
+ r AS (SELECT channel, lsn, rn, true AS accepted, 1 AS version FROM u WHERE rn = 1 UNION ALL
+  SELECT u.channel, u.lsn, u.rn, expected IS NULL OR expected = version, version + CAST(expected IS NULL OR expected = version AS INT) FROM r JOIN u ON u.channel = r.channel AND u.rn = r.rn + 1)
+ SELECT channel, lsn, accepted, version FROM r""")
 def channel_state_cas(spark, d):
     from factloom.streaming.live_tables import channel_cas
 
@@ -133,33 +136,23 @@ def channel_state_cas(spark, d):
     return channel_cas(rows.select(F.col("room").alias("channel"), "lsn", F.when(F.col("lsn") % 3 == 0, F.lit(0)).cast("long").alias("expected"), F.col("value").cast("string").alias("value")))
 
 
-def _scratch(spark) -> str:
-    """A folder that the executors see too: the session's checkpoint folder, if it has one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return "file://" + tempfile.mkdtemp(prefix="factloom-stream-")
-
-
 @register("stream_fold", f"WITH {LOG} SELECT key, lsn, value FROM folded")
 def stream_fold(spark, d):
     """The log as a stream of files, folded by micro-batches."""
+    from factloom.sources import store
     from factloom.streaming import live_tables as st
 
-    path = _scratch(spark)
+    path = m.scratch(spark)
     log = m.log(spark, d).select("lsn", "kind", "tbl", "key", "value")
     log.repartitionByRange(3, "lsn").write.parquet(f"{path}/log")
-    last = {"n": -1}
-    fold = st.fold_sink(f"{path}/state")
+    fold, done = store.fold_runs(f"{path}/state"), []
 
     def sink(batch, number):
         fold(batch, number)
-        last["n"] = number
+        done.append(number)
 
     st.run_available(st.read_log_stream(spark, f"{path}/log", log.schema), sink, f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/state/{last['n']}").filter(F.col("kind") == folds.UPSERT).select("key", "lsn", "value")
+    return store.folded_runs(spark, f"{path}/state", done[-1] + 1).select("key", "lsn", "value")
 
 
 @register("stream_agg_count", f"WITH {LOG} SELECT tbl, count(*) AS n FROM folded GROUP BY tbl")
@@ -167,42 +160,37 @@ def stream_agg_count(spark, d):
     """Live keys by table, counted by keyed stream state."""
     from factloom.streaming import live_tables as st
 
-    path = _scratch(spark)
-    log = m.log(spark, d).select("lsn", "kind", "tbl", "key", "value")
-    log.repartitionByRange(3, "lsn").write.parquet(f"{path}/log")
-    changes = st.live_counts(st.read_log_stream(spark, f"{path}/log", log.schema, 3))
-    st.run_available(changes, lambda b, n: b.write.mode("overwrite").parquet(f"{path}/deltas/{n}"), f"{path}/checkpoint", "update")
-    deltas = spark.read.schema("tbl string, lsn long, delta long").option("recursiveFileLookup", "true").parquet(f"{path}/deltas")
-    return deltas.groupBy("tbl").agg(F.sum("delta").alias("n"))
+    rows = m.log(spark, d).select("lsn", "kind", "tbl", "key", "value")
+    return m.streamed(spark, rows, st.live_counts, "tbl string, lsn long, delta long").groupBy("tbl").agg(F.sum("delta").alias("n"))
 
 
-@register("wal_recoverable_prefix", f"WITH {LOG} SELECT lsn, key, value FROM log WHERE lsn <= 1000")
+@register("wal_recoverable_prefix", f"WITH {LOG} SELECT lsn, key, value FROM log WHERE shard <> 0 OR lsn <= 1000")
 def wal_recoverable_prefix(spark, d):
-    """A JSON log with a torn tail: the facts before the first bad line."""
+    """A JSON log, one file a shard, of which one is torn: the facts before its first bad line."""
     from factloom.sources.logs import read_recoverable
 
-    path = _scratch(spark)
-    rows = m.log(spark, d).filter("lsn <= 1500").select("lsn", F.when(F.col("lsn") == 1001, F.lit('{"lsn": 10')).otherwise(F.to_json(F.struct("lsn", "key", "value"))).alias("value"))
-    rows.coalesce(1).sortWithinPartitions("lsn").select("value").write.text(f"{path}/log")
+    path = m.scratch(spark)
+    rows = m.log(spark, d).select("shard", "lsn", F.when(F.col("lsn") == 1001, F.lit('{"lsn": 10')).otherwise(F.to_json(F.struct("lsn", "key", "value"))).alias("value"))
+    rows.repartition("shard").sortWithinPartitions("shard", "lsn").select("shard", "value").write.partitionBy("shard").text(f"{path}/log")
     intact, _ = read_recoverable(spark, f"{path}/log")
     return intact.select("lsn", "key", "value")
 
 
-@register("bundle_verify")
+@register("bundle_verify", f"WITH {LOG} SELECT 5000 AS base_lsn, count(*) FILTER (lsn > 5000) AS records, greatest(max(lsn), 5000) AS current_lsn, 0 AS issues FROM log")
 def bundle_verify(spark, d):
     from factloom.sources import logs
 
-    path = _scratch(spark)
+    path = m.scratch(spark)
     made = logs.export_bundle(m.log(spark, d), f"{path}/bundle", 5000)
     found = logs.verify_bundle(spark, f"{path}/bundle")
     return spark.createDataFrame([(made["base_lsn"], made["records"], made["current_lsn"], len(found))], "base_lsn long, records long, current_lsn long, issues long")
 
 
-@register("import_preflight")
+@register("import_preflight", "SELECT * FROM (VALUES (5000, 'ok'), (4000, 'base 5000 is not the target''s 4000')) AS t(target_lsn, finding)")
 def import_preflight(spark, d):
     from factloom.sources import logs
 
-    path = _scratch(spark)
+    path = m.scratch(spark)
     logs.export_bundle(m.log(spark, d), f"{path}/bundle", 5000)
     rows = [(at, x) for at in (5000, 4000) for x in (logs.import_preflight(spark, f"{path}/bundle", at, m.SHARDS) or ["ok"])]
     return spark.createDataFrame(rows, "target_lsn long, finding string")
@@ -239,9 +227,9 @@ def trace_object(spark, d):
     return rows.filter(deep_search(F.col("value"), "12")).select("source")
 
 
-@register("sealed_checksums", f"WITH {LOG} SELECT lsn, length(key) > 0 AS sealed FROM log WHERE lsn % 5 = 0")
+@register("sealed_checksums", f"""WITH {LOG} SELECT lsn, CASE WHEN lsn % 2 = 0 THEN repeat('f', 64) ELSE sha256('{{"key":"' || key || '","kind":"' || kind || '","lsn":' || CAST(lsn AS VARCHAR) || ',"value":' || CAST(value AS VARCHAR) || '}}') END AS checksum FROM log""")
 def sealed_checksums(spark, d):
     from factloom.operators.writes import seal
 
-    rows = m.log(spark, d).filter("lsn % 5 = 0").withColumn("checksum", F.when(F.col("lsn") % 2 == 0, F.lit("f" * 64)))
-    return seal(rows, ["lsn", "kind", "key", "value"]).select("lsn", (F.length("checksum") == 64).alias("sealed"))
+    rows = m.log(spark, d).withColumn("checksum", F.when(F.col("lsn") % 2 == 0, F.lit("f" * 64)))
+    return seal(rows, ["lsn", "kind", "key", "value"]).select("lsn", "checksum")

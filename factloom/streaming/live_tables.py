@@ -1,7 +1,7 @@
 """The log as a stream: running folds, counts, channel state and catch-up.
 
-``foreachBatch`` sinks call the batch folds, so both ways share one definition; counts keep
-keyed state and emit changes only.
+``foreachBatch`` sinks (``sources.store``) call the batch folds, so both ways share one
+definition; counts and sums keep keyed state and emit changes only.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -21,40 +21,48 @@ def read_log_stream(spark: SparkSession, path: str, schema, files_at_once: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-def fold_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Folds each micro-batch into the snapshot at ``path/<batch>``; a batch that runs again
-    overwrites its own snapshot and nothing else."""
+def live_deltas(stream: DataFrame, keys: list[str], amount: Column) -> DataFrame:
+    """(first key, lsn, delta): by how much each fact changes the sum of its group, in update
+    mode.
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{path}/{number - 1}").select(*batch.columns).unionByName(batch)
-        # Deleted keys stay as tombstones, so that a late duplicate cannot bring them back.
-        folds.fold_records(rows, state=True).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{number}")
+    Keyed state holds what each key adds now; only a change of that reaches the sum, so a fact
+    that comes again, or late, changes nothing.
+    """
+
+    def changes(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        lsn, now = state.get if state.exists else (0, 0.0)
+        before = now
+        for rows in batches:
+            rows = rows[rows.lsn > lsn]
+            if len(rows):
+                last = rows.loc[rows.lsn.idxmax()]
+                lsn, now = int(last.lsn), float(last.amount)
+        state.update((lsn, now))
+        if now != before:
+            yield pd.DataFrame({keys[0]: [key[0]], "lsn": [lsn], "delta": [now - before]})
+
+    rows = stream.select(*keys, "lsn", F.coalesce(amount.cast("double"), F.lit(0.0)).alias("amount"))
+    return rows.groupBy(*keys).applyInPandasWithState(changes, f"{keys[0]} string, lsn long, delta double", "lsn long, amount double", "update", GroupStateTimeout.NoTimeout)
 
-    return apply
+
+def _records(stream: DataFrame) -> DataFrame:
+    return stream.filter(F.col("kind").isin(folds.UPSERT, folds.DELETE))
 
 
 def live_counts(stream: DataFrame) -> DataFrame:
-    """(tbl, n): net number of keys each table gained, in update mode.
+    """(tbl, lsn, delta): changes of the number of live keys of each table."""
+    out = live_deltas(_records(stream), ["tbl", "key"], F.col("kind") == folds.UPSERT)
+    return out.select("tbl", "lsn", F.col("delta").cast("long").alias("delta"))
 
-    Keyed state holds whether the key is alive; only a change of that reaches the sum.
-    """
 
-    def changes(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("lsn")
-        lsn, alive = state.get if state.exists else (0, False)
-        before = alive
-        rows = rows[rows.lsn > lsn]
-        if len(rows):
-            lsn, alive = int(rows.lsn.iloc[-1]), rows.kind.iloc[-1] == folds.UPSERT
-        state.update((lsn, bool(alive)))
-        if alive != before:
-            yield pd.DataFrame({"tbl": [key[0]], "lsn": [lsn], "delta": [int(alive) - int(before)]})
+def live_sums(stream: DataFrame, value: str) -> DataFrame:
+    """(tbl, lsn, delta): changes of the sum over live rows of each table."""
+    return live_deltas(_records(stream), ["tbl", "key"], F.when(F.col("kind") == folds.UPSERT, F.col(value)))
+
 
-    facts = stream.filter(F.col("kind").isin(folds.UPSERT, folds.DELETE)).select("tbl", "key", "lsn", "kind")
-    return facts.groupBy("tbl", "key").applyInPandasWithState(changes, "tbl string, lsn long, delta long", "lsn long, alive boolean", "update", GroupStateTimeout.NoTimeout)
+def live_presence(stream: DataFrame) -> DataFrame:
+    """stream (lsn, there, channel, user_id) -> (channel, lsn, delta): changes of its members."""
+    return live_deltas(stream, ["channel", "user_id"], F.col("there"))
 
 
 def compare_and_set(rows: pd.DataFrame, version: int = 0, value: str | None = None) -> tuple[list[tuple], int, str | None]:
@@ -69,7 +77,9 @@ def compare_and_set(rows: pd.DataFrame, version: int = 0, value: str | None = No
 
 
 def channel_cas(updates: DataFrame) -> DataFrame:
-    """Batch form: channel, lsn, accepted, version after each update. Sequential per channel."""
+    """Batch form: channel, lsn, accepted, version after each update. Sequential per channel,
+    whose updates of the batch are held at once; long histories go through the streaming form,
+    which keeps a version and a value only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         done, _, _ = compare_and_set(pdf)

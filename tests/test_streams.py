@@ -3,7 +3,7 @@
 import pandas as pd
 
 from factloom.operators import log as folds
-from factloom.sources import logs
+from factloom.sources import logs, store
 from factloom.streaming import live_tables as st
 
 SCHEMA = "lsn long, kind string, tbl string, key string, value double"
@@ -17,10 +17,11 @@ def test_fold_stream(spark, tmp_path):
     log = facts(spark)
     log.repartitionByRange(4, "lsn").write.parquet(f"{tmp_path}/log")
     numbers = []
-    fold = st.fold_sink(f"{tmp_path}/state")
+    fold = store.fold_runs(f"{tmp_path}/state")
     st.run_available(st.read_log_stream(spark, f"{tmp_path}/log", log.schema), lambda b, n: (fold(b, n), numbers.append(n)), f"{tmp_path}/c")
-    got = spark.read.parquet(f"{tmp_path}/state/{numbers[-1]}")
-    assert sorted(map(tuple, got.filter("kind = 'recordUpserted'").select("key", "value").collect())) == sorted(map(tuple, folds.fold_records(log).select("key", "value").collect()))
+    got = store.folded_runs(spark, f"{tmp_path}/state", numbers[-1] + 1)
+    assert numbers == list(range(4)) and store.runs_after(7) == [(0, 4), (4, 2), (6, 1)]
+    assert sorted(map(tuple, got.select("key", "value").collect())) == sorted(map(tuple, folds.fold_records(log).select("key", "value").collect()))
 
 
 def test_live_counts(spark, tmp_path):
