@@ -67,7 +67,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> bytes:
         doc, bucket = features(raw[lo:hi])
         for i in range(hi - lo):
             b, n = np.unique(bucket[doc == i], return_counts=True)
-            bags.append((b, (n / max(1, n.sum())).astype(np.float32)))
+            bags.append((b.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     steps, total = 0, EPOCHS * len(bags)

@@ -67,7 +67,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """POINT**i and POINT**-i for i < n, modulo the prime; kept between calls."""
     global _up, _down
     if len(_up) < n:
-        n, tables = max(n, 1 << 20), []
+        n, tables = max(n, 1 << 18), []
         for base in (POINT, INVERSE):
             out = np.ones(n, U)
             done = 1
@@ -131,7 +131,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(sizes: list[int], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows of about ``limit`` bytes together (one row at least)."""
     lo = total = 0
     for i, n in enumerate(sizes):
