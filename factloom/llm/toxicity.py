@@ -1,7 +1,8 @@
 """op7: toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
 Folding lowers letters, strips accents, maps look-alike letters of other scripts and digits
-or signs that stand for letters inside words, and turns all else into single spaces. The
+or signs that stand for letters in words (anywhere in a word of letters and such signs, but for
+``!`` and ``|`` at its end; else between letters), and turns all else into single spaces. The
 lexicon is learned from at most ``SAMPLE`` labelled documents: folded words and stems
 (beginnings of words) whose log odds of standing in a toxic document are high; a term is
 left out where a shorter one says as much. Phrases around a term that stand in clean
@@ -43,10 +44,20 @@ LOOK_ALIKES = "аaеeоoрpсcуyхxіiјjѕsԁdһhԛqԝwвbкkмmнhтtαaβbε
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
 
 _PAIRS = dict(zip(LOOK_ALIKES[::2], LOOK_ALIKES[1::2]))
-_ANY = "[" + re.escape("".join(STAND_INS)) + "]"
-_INSIDE = re.compile(rf"(?<=[a-z]){_ANY}+(?=[a-z])|(?<!\w){_ANY}(?=[a-z]{{2}})")
+_SIGNS = re.escape("".join(STAND_INS))
+#: A word of letters and stand-ins with at least one of these. Possessive, from its start only: linear in the text.
+_MIXED = re.compile(rf"(?<![\w{_SIGNS}])[a-z]*+[{_SIGNS}][a-z{_SIGNS}]*+(?!\w)")
+_INSIDE = re.compile(rf"(?<=[a-z])[{_SIGNS}]+(?=[a-z])|(?<!\w)[{_SIGNS}](?=[a-z]{{2}})")
+_LETTER = re.compile("[a-z]")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _ASCII = {c: chr(c).lower() for c in range(65, 91)}
+_STOOD_FOR = str.maketrans(STAND_INS)
+
+
+def _mixed(m: re.Match) -> str:
+    """A mixed word with its stand-ins folded; marks at its end stay, a number too."""
+    core = m[0].rstrip("!|")
+    return core.translate(_STOOD_FOR) + m[0][len(core) :] if _LETTER.search(core) else m[0]
 
 
 class _Fold(dict):
@@ -65,7 +76,7 @@ _FOLD = _Fold(_ASCII)
 def fold(text: str) -> str:
     """Folded words with single spaces between and around them."""
     text = text.lower() if text.isascii() else text.translate(_FOLD)
-    text = _INSIDE.sub(lambda m: "".join(STAND_INS[c] for c in m[0]), text)
+    text = _INSIDE.sub(lambda m: m[0].translate(_STOOD_FOR), _MIXED.sub(_mixed, text))
     return " " + _NOT_LETTERS.sub(" ", text).strip() + " "
 
 

@@ -54,6 +54,10 @@ def test_folding():
     assert toxicity.fold("An 1DI0T, idіot!") == " an idiot idiot "
     assert toxicity.fold("") == "  "
     assert toxicity.fold("Réeux 2024") == " reeux "
+    assert toxicity.fold("1d10t 5h1t h4t3 gr055 a55 a$$ @ss!! 455") == " idiot shit hate gross ass ass ass "
+    assert toxicity.fold("(1D10T), no! |3 100% 7 x26 слово0") == f" idiot no x {toxicity.fold('слово').strip()} "
+    long = "1" * 200_000 + "x" * 200_000 + "0"
+    assert toxicity.fold(long) == f" {'i' * 200_000 + 'x' * 200_000}o "
 
 
 def test_exceptions_take_the_weight_back():
