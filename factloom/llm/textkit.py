@@ -131,7 +131,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(sizes: list[int], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+def blocks(sizes: list[int], limit: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows of about ``limit`` bytes together (one row at least)."""
     lo = total = 0
     for i, n in enumerate(sizes):
