@@ -75,16 +75,28 @@ def verify_chain(bundles: DataFrame) -> DataFrame:
 
 
 def latest_chain(bundles: DataFrame) -> list[str]:
-    """From each good full bundle the longest reach by greatest increments; the farthest wins.
+    """From each good full bundle the longest reach by greatest increments; the farthest wins,
+    then the full bundle that ends lowest.
 
-    Bundles are control-plane rows (one a backup); the walk over them is on the driver.
+    Bundles are control-plane rows (one a backup). Spark picks the one increment that goes on
+    from an LSN; the driver walks these, each once: increments only lead upwards, so where an
+    LSN leads to is known once all above it are.
     """
-    rows = [r.asDict() for r in bundles.filter("ok").orderBy("current_lsn", "bundle_id").collect()]
-    best: list[dict] = []
-    for full in (r for r in rows if r["base_lsn"] == 0):
-        chain = [full]
-        while more := [r for r in rows if r["base_lsn"] == chain[-1]["current_lsn"] and r["current_lsn"] > r["base_lsn"] > 0]:
-            chain.append(max(more, key=lambda r: (r["current_lsn"], r["bundle_id"])))
-        if not best or chain[-1]["current_lsn"] > best[-1]["current_lsn"]:
-            best = chain
-    return [r["bundle_id"] for r in best]
+    good = bundles.filter("ok and current_lsn is not null")
+    last = F.max(F.struct("current_lsn", "bundle_id")).alias("r")
+    onward = good.filter("base_lsn > 0 and current_lsn > base_lsn").groupBy("base_lsn").agg(last).select("base_lsn", "r.*")
+    # Of full bundles that end alike, the least name.
+    fulls = good.filter("base_lsn = 0").groupBy("current_lsn").agg(F.min("bundle_id").alias("bundle_id"))
+    goes_on = {base: (lsn, name) for base, lsn, name in onward.collect()}
+    end: dict[int, int] = {}
+    for base in sorted(goes_on, reverse=True):
+        lsn = goes_on[base][0]
+        end[base] = end.get(lsn, lsn)
+    best = min(fulls.collect(), key=lambda r: (-end.get(r["current_lsn"], r["current_lsn"]), r["current_lsn"]), default=None)
+    if best is None:
+        return []
+    lsn, chain = best["current_lsn"], [best["bundle_id"]]
+    while lsn in goes_on:
+        lsn, name = goes_on[lsn]
+        chain.append(name)
+    return chain

@@ -167,6 +167,31 @@ def test_object_ranges_and_chains(spark):
     assert ob.latest_chain(spark.createDataFrame(rows, "bundle_id string, base_lsn long, current_lsn long, ok boolean")) == ["f1", "i2"]
 
 
+def test_latest_chain_brute_force_and_long(spark):
+    import random
+    import time
+
+    def walked(rows):
+        good = sorted((r for r in rows if r[3]), key=lambda r: (r[2], r[0]))
+        best = []
+        for full in (r for r in good if r[1] == 0):
+            chain = [full]
+            while more := [r for r in good if r[1] == chain[-1][2] and r[2] > r[1] > 0]:
+                chain.append(max(more, key=lambda r: (r[2], r[0])))
+            if not best or chain[-1][2] > best[-1][2]:
+                best = chain
+        return [r[0] for r in best]
+
+    schema, r = "bundle_id string, base_lsn long, current_lsn long, ok boolean", random.Random(5)
+    for n in (0, 1, 5, 20, 40, 80):
+        rows = [(f"b{i}", r.choice([0, r.randrange(-2, 30)]), r.randrange(0, 30), r.random() < 0.8) for i in range(n)]
+        assert ob.latest_chain(spark.createDataFrame(rows, schema)) == walked(rows)
+    n, start = 40_000, time.time()
+    long = spark.range(2 * n).selectExpr("concat('b', id) as bundle_id", f"if(id < {n}, 0, id - {n} + 1) as base_lsn", f"if(id < {n}, id + 1, id - {n} + 2) as current_lsn", "true as ok")
+    assert ob.latest_chain(long) == ["b0"] + [f"b{n + i}" for i in range(n)]
+    assert time.time() - start < 60
+
+
 def test_schema(spark):
     fields = {"title": {"kind": "text", "inlineUntil": 4}, "n": {"kind": "int64", "optional": True}, "tags": {"kind": "list", "item": {"kind": "string"}}, "o": {"kind": "object", "fields": {"x": {"kind": "boolean"}}}}
     df = spark.createDataFrame([(1, "éé", None, ["a"], (True,)), (2, "ééé", 1, [None], (None,)), (3, None, 1, [], None)], "i int, title string, n long, tags array<string>, o struct<x:boolean>")
