@@ -114,6 +114,23 @@ def test_a_passage_in_very_many_documents(spark):
     assert sorted(map(tuple, got)) == sorted(brute(rows, 400))
 
 
+def test_planted_passages_of_over_50_words(spark):
+    r = random.Random(13)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+    passages = [prose(n) for n in range(51, 81)]
+    passages += [prose(80)[:399], prose(80)[:400], prose(80)[:398] + "é"]
+    rows, want = [], {}
+    for i, p in enumerate(passages):
+        for k, edge in enumerate("<>"):
+            rows.append((2 * i + k, prose(r.randint(1, 90)) + edge + p + edge + prose(r.randint(1, 90)), "x"))
+            want[2 * i + k] = len(p.encode()) if len(p.encode()) >= 400 else 0
+    rows += [(1000 + i, prose(r.randint(50, 300)), "x") for i in range(40)]
+    assert 0 < sum(n > 0 for n in want.values()) < len(want)
+    got = remove_repeats(spark.createDataFrame(rows, DOCS)).drop("kept", "spans").collect()
+    assert {x["doc_id"]: x["n_removed"] for x in got} == {i: want.get(i, 0) for i, *_ in rows}
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 400))
+
+
 def test_very_long_texts(spark, monkeypatch):
     from factloom.llm import suffix_dedup
 
